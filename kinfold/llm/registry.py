@@ -40,6 +40,12 @@ def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import quality
 
