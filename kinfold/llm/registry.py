@@ -22,6 +22,12 @@ def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import suffixdedup
+
+    return suffixdedup.digests(table(spark, sf_dir, "documents"), length=200)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import bpe
 
