@@ -22,6 +22,12 @@ def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import suffixdedup
 
@@ -52,6 +58,12 @@ def op8_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm import licences
+
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm import quality
 
