@@ -19,6 +19,7 @@ family name; a null doc_id is reported as null.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -115,6 +116,11 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 
+def _template_words(text: str) -> Column:
+    """The distinct words of a template, as a constant of the plan."""
+    return F.array(*[F.lit(w) for w in dict.fromkeys(re.split(r"[^0-9a-z.-]+", text.lower())) if w])
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.-]+"), lambda w: w != "")
 
@@ -150,10 +156,11 @@ def training_rows(documents: DataFrame) -> DataFrame:
     known = varied.select("class", (F.pmod(F.xxhash64("para", "variant"), F.lit(5)) > 0).cast("int").alias("fold"), some.alias("w"))
     chosen = documents.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     lines = paragraphs(chosen)
-    parts = [F.array(*[F.lit(x) for x in ts]) for c, ts in TEMPLATES.items() if c not in (NONE, UNKNOWN)]
-    like = F.exists(F.concat(*parts), lambda t: _overlap(words(F.col("para")), words(t)) >= LEAST_OVERLAP)
-    other = lines.where(~like).orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(SAMPLE_LINES)
-    return known.unionByName(other.select(F.lit(NONE).alias("class"), F.lit(1).alias("fold"), words(F.col("para")).alias("w"))).where(F.size("w") > 0)
+    chosen = lines.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(SAMPLE_LINES)
+    other = materialize(chosen.select(words(F.col("para")).alias("w")), "licence-sample")
+    templates = F.array(*[_template_words(t) for c, ts in TEMPLATES.items() if c not in (NONE, UNKNOWN) for t in ts])
+    other = other.where(~F.exists(templates, lambda t: _overlap(F.col("w"), t) >= LEAST_OVERLAP))
+    return known.unionByName(other.select(F.lit(NONE).alias("class"), F.lit(1).alias("fold"), "w")).where(F.size("w") > 0)
 
 
 def _overlap(w: Column, template: Column) -> Column:
@@ -182,7 +189,8 @@ def train(documents: DataFrame) -> Scanner:
     rows = materialize(rows.select("fold", "label", "w", "grams"), "licence-training")
     rows = hashing.transform(rows)
     regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40)
-    fitted = regression.fit(rows.where("fold = 1").select("label", "features"))
+    # A bounded sample of a few thousand rows; more partitions would only add tasks to each iteration.
+    fitted = regression.fit(rows.where("fold = 1").select("label", "features").coalesce(2))
     scanner = Scanner(hashing, fitted, classes, 0.5)
     # Calibration: of the kept-out family variants that are told rightly, all but one in a hundred reach the floor.
     out = scanner.probabilities(rows.where("fold = 0").select("label", "w"))
@@ -202,9 +210,9 @@ def scan(documents: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     # The few paragraphs that are licences are written out, so that the model runs once on each paragraph.
     found = materialize(rows.where(F.element_at("p", none) < 0.5).select("doc_id", "paragraph", "w", "p"), "licences")
     families = [c for c in classes if c not in (NONE, UNKNOWN)]
-    each = F.array(*[F.struct(F.element_at("p", classes.index(c) + 1).alias("p"), F.lit(-k).alias("order"), F.lit(c).alias("family"), F.array(*[F.lit(t) for t in TEMPLATES[c]]).alias("templates")) for k, c in enumerate(families)])
-    best = found.withColumn("best", F.array_max(F.transform(each, lambda x: F.struct(x["p"].alias("p"), x["order"].alias("order"), x["family"].alias("family"), F.array_max(F.transform(x["templates"], lambda t: _overlap(F.col("w"), words(t)))).alias("overlap")))))
-    likeness = F.array(*[words(F.lit(t)) for c, ts in TEMPLATES.items() if c != NONE for t in ts])
+    each = F.array(*[F.struct(F.element_at("p", classes.index(c) + 1).alias("p"), F.lit(-k).alias("order"), F.lit(c).alias("family"), F.array(*[_template_words(t) for t in TEMPLATES[c]]).alias("templates")) for k, c in enumerate(families)])
+    best = found.withColumn("best", F.array_max(F.transform(each, lambda x: F.struct(x["p"].alias("p"), x["order"].alias("order"), x["family"].alias("family"), F.array_max(F.transform(x["templates"], lambda t: _overlap(F.col("w"), t))).alias("overlap")))))
+    likeness = F.array(*[_template_words(t) for c, ts in TEMPLATES.items() if c != NONE for t in ts])
     any_overlap = F.array_max(F.transform(likeness, lambda t: _overlap(F.col("w"), t)))
     sure = (F.col("best.p") >= scanner.floor) & (F.col("best.overlap") >= LEAST_OVERLAP) & (F.col("best.p") >= F.element_at("p", unknown))
     return best.where(sure | (any_overlap >= UNKNOWN_OVERLAP)).select(
