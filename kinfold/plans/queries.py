@@ -241,7 +241,7 @@ def q_verdict_stats(spark, d):
 
 def q_compare(spark, d):
     snaps = stage(_snapshots(spark, d), "snapshots")
-    found = cand.candidates(snaps, Config(max_bucket=10)).where("exact").select("category", "a", "b", F.lit(0).cast("long").alias("batch"))
+    found = cand.candidates(snaps, Config(max_bucket=BUCKET)).where("exact").select("category", "a", "b", F.lit(0).cast("long").alias("batch"))
     return verdicts.compare(found, snaps).select("a", "b", "classification", "confidence", "calls")
 
 
@@ -302,12 +302,20 @@ def q_event_invalidation(spark, d):
     return store.read("pair", pairs.SCHEMA).select("a", "b", "state")
 
 
+def _scan(spark, d, config):
+    none = lambda schema: spark.createDataFrame([], schema)
+    done = engine.scan(_documents(spark, d), none(engine.SNAPSHOT), none(pairs.SCHEMA), 1, 1, config)
+    return done.pairs.select("category", "a", "b", F.col("heuristicscore").cast("double").alias("score"), "state", "classification")
+
+
 def q_scan(spark, d):
     """The flagship: a whole scan of all documents with the local comparator."""
-    items = _documents(spark, d)
-    none = lambda schema: spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("x")).select("x.*").schema])
-    done = engine.scan(items, none(engine.SNAPSHOT), none(pairs.SCHEMA), 1, 1, Config(max_bucket=BUCKET))
-    return done.pairs.select("category", "a", "b", F.col("heuristicscore").cast("double").alias("score"), "state", "classification")
+    return _scan(spark, d, Config(max_bucket=BUCKET))
+
+
+def q_scan_open(spark, d):
+    """The same with a cap and a budget that cannot bind."""
+    return _scan(spark, d, Config(max_bucket=BUCKET, max_per_item=1_000_000, max_new_pairs=1_000_000_000))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -330,46 +338,70 @@ def _toks(c: str) -> str:
 
 
 _MINHASH = "list_transform(range(12), lambda s: list_min(list_transform(list_distinct(toks), lambda t: substr(sha256(s::VARCHAR || ':' || t), 1, 8))))"
+_PLAIN = r"trim(regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+_CONV = f"""
+t AS (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS asked, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS replied FROM conversations),
+an AS (SELECT conv_id AS entry, turn, CASE WHEN turn = replied THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fraction, {_norm('text')} AS ntext, {_PLAIN.format(c='text')} AS ptext FROM t WHERE role = 'assistant'),
+ah AS (SELECT entry, sha256(string_agg(DISTINCT ntext, '|' ORDER BY ntext)) AS answerhash FROM an WHERE fraction > 0 AND ntext <> '' GROUP BY entry),
+cv AS (SELECT conv_id AS entry, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user' AND turn = asked), '') AS q, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system'), '') AS fb FROM t GROUP BY conv_id)"""
+_TK = f"tk AS (SELECT *, {_toks('norm')} AS toks, sha256(norm) AS texthash FROM base)"
 _DOC = f"""
-base AS (SELECT doc_id, doc_id AS entry, lang AS category, source AS qtype, {_norm('text')} AS norm FROM documents),
-tk AS (SELECT *, {_toks('norm')} AS toks, sha256(norm) AS texthash FROM base)"""
+base AS (SELECT doc_id, doc_id AS entry, lang AS category, source AS qtype, {_norm('text')} AS norm, {_PLAIN.format(c='text')} AS plain, NULL::VARCHAR AS answerhash FROM documents),
+{_TK}"""
+_CONV_DOC = f"""{_CONV},
+base AS (SELECT cv.entry, (cv.entry % 5)::VARCHAR AS category, 'chat' AS qtype, {_norm('q')} AS norm, answerhash FROM cv LEFT JOIN ah USING (entry)),
+{_TK}"""
 _KW = """
 kwc AS (SELECT entry, t, count(*) AS n FROM (SELECT entry, unnest(toks) AS t FROM tk) GROUP BY ALL),
 kwr AS (SELECT entry, t, row_number() OVER (PARTITION BY entry ORDER BY n DESC, octet_length(encode(t)) DESC, t) AS r FROM kwc)"""
 _SIG = f"""
 sig AS (SELECT entry, category, CASE WHEN len(toks) > 0 THEN list_transform({_MINHASH}, lambda h: ('0x' || h)::BIGINT) ELSE [] END AS sig FROM tk),
 bnd AS (SELECT entry, category, 'mh:' || b || ':' || substr(sha256(array_to_string(sig[3 * b + 1 : 3 * b + 3], ':')), 1, 32) AS bucketkey FROM sig, range(4) r(b) WHERE len(sig) = 12)"""
-_BUCKETS = f"""WITH {_DOC}, {_KW}, {_SIG},
+
+
+def _buckets_sql(base: str) -> str:
+    return f"""WITH {base}, {_KW}, {_SIG},
 bk AS (
   SELECT DISTINCT category, bucketkey, entry FROM (
     SELECT category, 'tx:' || substr(texthash, 1, 40) AS bucketkey, entry FROM tk WHERE norm <> ''
+    UNION ALL SELECT category, 'an:' || substr(sha256(qtype || ':' || answerhash), 1, 40), entry FROM tk WHERE answerhash IS NOT NULL
     UNION ALL SELECT tk.category, 'kw:' || substr(sha256(t), 1, 40), kwr.entry FROM kwr JOIN tk USING (entry) WHERE r <= 6
     UNION ALL SELECT category, bucketkey, entry FROM bnd)),
 bs AS (SELECT category, bucketkey, count(*) AS entries FROM bk GROUP BY ALL HAVING count(*) > 1 AND (count(*) <= {BUCKET} OR bucketkey LIKE 'tx:%'))"""
-_CHAIN = "ch AS (SELECT category, texthash, lag(entry) OVER (PARTITION BY category, texthash ORDER BY entry) AS a, entry AS b FROM tk WHERE norm <> '')"
-_PAIRS = f"""{_BUCKETS}, {_CHAIN},
+
+
+_CHAIN = "ch AS (SELECT category, texthash, lag(entry) OVER (PARTITION BY category, texthash ORDER BY coalesce(answerhash, ''), entry) AS x, entry AS y FROM tk WHERE norm <> '')"
+
+
+def _pairs_sql(base: str) -> str:
+    return f"""{_buckets_sql(base)}, {_CHAIN},
 pr AS (
-  SELECT category, a, b FROM ch WHERE a IS NOT NULL
+  SELECT category, least(x, y) AS a, greatest(x, y) AS b FROM ch WHERE x IS NOT NULL
   UNION SELECT x.category, x.entry, y.entry FROM bk x JOIN bk y ON x.category = y.category AND x.bucketkey = y.bucketkey AND x.entry < y.entry
     JOIN bs ON bs.category = x.category AND bs.bucketkey = x.bucketkey WHERE x.bucketkey NOT LIKE 'tx:%'),
-ft AS (SELECT entry, qtype, norm, texthash, list_distinct(toks) AS ts FROM tk),
+ft AS (SELECT *, list_distinct(toks) AS ts FROM tk),
 j AS (
-  SELECT pr.*, f.texthash = g.texthash AND f.norm <> '' AS exact, f.qtype = g.qtype AS same_type, len(f.ts) AS n, len(g.ts) AS m, len(list_intersect(f.ts, g.ts)) AS i
+  SELECT pr.*, f.texthash = g.texthash AND f.norm <> '' AS exact, f.qtype = g.qtype AS same_type, coalesce(f.answerhash = g.answerhash, false) AS same_answer,
+    len(f.ts) AS n, len(g.ts) AS m, len(list_intersect(f.ts, g.ts)) AS i
   FROM pr JOIN ft f ON f.entry = a JOIN ft g ON g.entry = b),
 jj AS (SELECT *, CASE WHEN n = 0 OR m = 0 THEN 0::DOUBLE ELSE i::DOUBLE / (n + m - i)::DOUBLE END AS jac FROM j),
-sc AS (SELECT *, CASE WHEN exact THEN 1::DOUBLE ELSE least(1::DOUBLE, 0.80::DOUBLE * jac + 0::DOUBLE + 0.05::DOUBLE * same_type::INT::DOUBLE) END AS score FROM jj),
-ok AS (SELECT * FROM sc WHERE score >= CASE WHEN same_type THEN 0.28::DOUBLE ELSE 0.38::DOUBLE END)"""
+sc AS (SELECT *, CASE WHEN exact THEN 1::DOUBLE ELSE least(1::DOUBLE, 0.80::DOUBLE * jac + 0.15::DOUBLE * same_answer::INT::DOUBLE + 0.05::DOUBLE * same_type::INT::DOUBLE) END AS score FROM jj),
+ok AS (SELECT * FROM sc WHERE score >= CASE WHEN same_type AND same_answer THEN 0.20::DOUBLE WHEN same_type THEN 0.28::DOUBLE ELSE 0.38::DOUBLE END)"""
+
+
+_BUCKETS, _PAIRS = _buckets_sql(_DOC), _pairs_sql(_DOC)
+_WORDS = "list_filter(list_distinct(string_split(lower({c}), ' ')), lambda w: w <> '')"
+#: The local comparator's classes and confidences of the pairs `ok`.
+_COMPARED = f"""{_PAIRS},
+wd AS (SELECT entry, plain, {_WORDS.format(c='plain')} AS ws FROM tk),
+sh AS (SELECT ok.*, f.plain = g.plain AS equal, CASE WHEN len(f.ws) + len(g.ws) = 0 THEN 0::DOUBLE ELSE len(list_intersect(f.ws, g.ws))::DOUBLE / (len(f.ws) + len(g.ws) - len(list_intersect(f.ws, g.ws)))::DOUBLE END AS share
+  FROM ok JOIN wd f ON f.entry = a JOIN wd g ON g.entry = b),
+cp AS (SELECT *, CASE WHEN equal THEN 'same_question' WHEN share >= 0.6::DOUBLE THEN 'strongly_overlapping' WHEN share >= 0.3::DOUBLE THEN 'related_but_distinct' ELSE 'unrelated' END AS classification, CASE WHEN equal THEN 1::DOUBLE ELSE round(share, 5) END AS confidence FROM sh)"""
 _STATES = "['candidate', 'analysed', 'aierror', 'notduplicate', 'ignored']"
 _HIST = f"""
 h AS (SELECT doc_id, doc_id AS id, source AS category, doc_id AS a, doc_id + 7 AS b, round((doc_id % 97) / 96.0::DOUBLE, 5) AS score,
   CASE WHEN doc_id % 5 = 1 THEN ['same_question', 'strongly_overlapping', 'related_but_distinct', 'unrelated'][doc_id % 4 + 1] END AS classification,
   CASE WHEN doc_id % 5 = 1 THEN (doc_id % 101) / 100.0::DOUBLE END AS confidence, {_STATES}[doc_id % 5 + 1] AS state, doc_id % 2 + 1 AS scan FROM documents)"""
-_CONV = f"""
-t AS (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS asked, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS replied FROM conversations),
-an AS (SELECT conv_id AS entry, turn, CASE WHEN turn = replied THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fraction, {_norm('text')} AS ntext, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS ptext FROM t WHERE role = 'assistant'),
-ah AS (SELECT entry, sha256(string_agg(DISTINCT ntext, '|' ORDER BY ntext)) AS answerhash FROM an WHERE fraction > 0 AND ntext <> '' GROUP BY entry),
-cv AS (SELECT conv_id AS entry, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user' AND turn = asked), '') AS q, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system'), '') AS fb FROM t GROUP BY conv_id)"""
-
 
 def _report_sql(where: str) -> str:
     failed = "state = 'aierror'"
@@ -407,10 +439,13 @@ def oracle_sql() -> dict[str, str]:
         "q_answer_buckets": f"WITH {_CONV} SELECT (entry % 5)::VARCHAR AS category, 'an:' || substr(sha256('chat:' || answerhash), 1, 40) AS bucketkey, entry FROM ah",
         "q_bucket_sizes": f"{_BUCKETS} SELECT category, bucketkey, entries FROM bs",
         "q_exact_clusters": f"WITH {_DOC} SELECT category, texthash, count(*) AS entries FROM tk WHERE norm <> '' GROUP BY ALL HAVING count(*) > 1",
-        "q_exact_chain": f"WITH {_DOC}, {_CHAIN} SELECT category, texthash, a, b FROM ch WHERE a IS NOT NULL",
+        "q_exact_chain": f"WITH {_DOC}, {_CHAIN} SELECT category, texthash, x AS a, y AS b FROM ch WHERE x IS NOT NULL",
         "q_bucket_pairs": f"{_PAIRS} SELECT category, a, b FROM pr",
         "q_scored_pairs": f"{_PAIRS} SELECT category, a, b, exact, false AS same_answer, same_type, round(jac, 5) AS token_jaccard, round(score, 5) AS score FROM sc",
         "q_thresholded": f"{_PAIRS} SELECT category, a, b, round(score, 5) AS score FROM ok",
+        "q_answer_pairs": f"{_pairs_sql(_CONV_DOC)} SELECT category, a, b, exact, same_answer, round(score, 5) AS score FROM ok",
+        "q_compare": f"{_COMPARED} SELECT a, b, classification, confidence, 1::BIGINT AS calls FROM cp WHERE exact",
+        "q_scan_open": f"{_COMPARED} SELECT category, a, b, round(score, 5) AS score, 'analysed' AS state, classification FROM cp",
         "q_greedy_unbound": f"{_PAIRS} SELECT category, a, b, 'active' AS result FROM ok",
         "q_pair_merge": f"""{_MERGE} SELECT category, a, b, CASE result WHEN 'active' THEN 'candidate' ELSE was END AS state, CASE WHEN result <> 'active' THEN 'unrelated' END AS classification,
   CASE WHEN was = 'ignored' THEN 0.5::DOUBLE ELSE round(score, 5) END AS score, CASE WHEN was = 'ignored' THEN 1 ELSE 2 END::BIGINT AS lastscanid, CASE WHEN was IS NULL THEN 20 ELSE 10 END::BIGINT AS timecreated, CASE WHEN was = 'ignored' THEN 10 ELSE 20 END::BIGINT AS timemodified FROM rs""",
