@@ -24,8 +24,13 @@ from kinfold.sources.staging import shared_dir, stage
 BUCKET, CAP, BUDGET = 40, 5, 60
 
 
+def _texts(spark, d, name="documents"):
+    """A table whose rows are much work each."""
+    return src.spread(src.table(spark, d, name))
+
+
 def _documents(spark, d):
-    return src.document_items(src.table(spark, d, "documents"))
+    return src.document_items(_texts(spark, d))
 
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -63,23 +68,23 @@ def q_visible_count(spark, d):
 
 
 def q_plain_html(spark, d):
-    return src.table(spark, d, "pages").select("page_id", T.plain("html").alias("plain"))
+    return _texts(spark, d, "pages").select("page_id", T.plain("html").alias("plain"))
 
 
 def q_normalize(spark, d):
-    return src.table(spark, d, "documents").select("doc_id", T.normalize("text").alias("normalized"))
+    return _texts(spark, d).select("doc_id", T.normalize("text").alias("normalized"))
 
 
 def q_tokens(spark, d):
-    return src.table(spark, d, "documents").select("doc_id", T.tokens(T.normalize("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_hash"))
+    return _texts(spark, d).select("doc_id", T.tokens(T.normalize("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_hash"))
 
 
 def q_keywords(spark, d):
-    return src.table(spark, d, "documents").select("doc_id", F.array_join(T.keywords(T.tokens(T.normalize("text"))), ",").alias("keywords"))
+    return _texts(spark, d).select("doc_id", F.array_join(T.keywords(T.tokens(T.normalize("text"))), ",").alias("keywords"))
 
 
 def q_text_hash(spark, d):
-    return src.table(spark, d, "documents").select("doc_id", H.sha(T.normalize("text")).alias("texthash"))
+    return _texts(spark, d).select("doc_id", H.sha(T.normalize("text")).alias("texthash"))
 
 
 def q_source_hash(spark, d):
@@ -96,11 +101,11 @@ def q_answer_summary(spark, d):
 
 
 def q_minhash(spark, d):
-    return src.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(H.minhash(T.tokens(T.normalize("text"))), lambda x: x.cast("string")), ",").alias("minhash"))
+    return _texts(spark, d).select("doc_id", F.array_join(F.transform(H.minhash(T.tokens(T.normalize("text"))), lambda x: x.cast("string")), ",").alias("minhash"))
 
 
 def q_bands(spark, d):
-    return src.table(spark, d, "documents").select("doc_id", F.explode(H.bands(H.minhash(T.tokens(T.normalize("text"))))).alias("band"))
+    return _texts(spark, d).select("doc_id", F.explode(H.bands(H.minhash(T.tokens(T.normalize("text"))))).alias("band"))
 
 
 def q_buckets(spark, d):
@@ -143,7 +148,7 @@ def q_thresholded(spark, d):
 
 def q_answer_pairs(spark, d):
     snaps = stage(_conversations(spark, d), "snapshots")
-    return cand.candidates(snaps, Config(max_bucket=BUCKET)).select("category", "a", "b", "exact", "same_answer", F.round("score", 5).alias("score"))
+    return cand.scored(cand.positions(snaps, BUCKET), snaps).select("category", "a", "b", "exact", "same_answer", F.round("score", 5).alias("score"))
 
 
 def q_greedy(spark, d):
@@ -443,7 +448,7 @@ def oracle_sql() -> dict[str, str]:
         "q_bucket_pairs": f"{_PAIRS} SELECT category, a, b FROM pr",
         "q_scored_pairs": f"{_PAIRS} SELECT category, a, b, exact, false AS same_answer, same_type, round(jac, 5) AS token_jaccard, round(score, 5) AS score FROM sc",
         "q_thresholded": f"{_PAIRS} SELECT category, a, b, round(score, 5) AS score FROM ok",
-        "q_answer_pairs": f"{_pairs_sql(_CONV_DOC)} SELECT category, a, b, exact, same_answer, round(score, 5) AS score FROM ok",
+        "q_answer_pairs": f"{_pairs_sql(_CONV_DOC)} SELECT category, a, b, exact, same_answer, round(score, 5) AS score FROM sc",
         "q_compare": f"{_COMPARED} SELECT a, b, classification, confidence, 1::BIGINT AS calls FROM cp WHERE exact",
         "q_scan_open": f"{_COMPARED} SELECT category, a, b, round(score, 5) AS score, 'analysed' AS state, classification FROM cp",
         "q_greedy_unbound": f"{_PAIRS} SELECT category, a, b, 'active' AS result FROM ok",

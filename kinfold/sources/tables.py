@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 ANSWERS = "array<struct<id:bigint,answer:string,fraction:double>>"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files make fewer partitions than there are cores; a large input stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
