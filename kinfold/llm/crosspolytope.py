@@ -81,8 +81,6 @@ def nearest(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray,
 
 def _probe(indexed: DataFrame, asked: DataFrame, dims: int, tables: int, probes: int, k: int) -> DataFrame:
     """query_id, vec_id, score: the k nearest of each bucket part that a query visits."""
-    spark = indexed.sparkSession
-
     def hashed(width: int):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = V.matrix(batch.column(V.VECTOR), dims)
@@ -128,7 +126,6 @@ def _probe(indexed: DataFrame, asked: DataFrame, dims: int, tables: int, probes:
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return pa.table([pa.array(join(out_q, np.int64)), pa.array(join(out_i, np.int64)), pa.array(join(out_s, np.float64))], ["query_id", V.ID, "score"])
 
-    del spark
     return documents.unionByName(queries).groupBy("bucket", "part", "block").applyInArrow(visit, f"query_id long, {V.ID} long, score double")
 
 
