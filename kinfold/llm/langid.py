@@ -30,8 +30,9 @@ from kinfold.llm.common import arrow_map, held_out
 DIMENSIONS = 512
 SYMBOLS = 64
 UND = "und"
-#: Training texts taken of each language, those of the smallest hash of doc_id.
+#: Training texts taken of each language at most: those of the smallest hash of doc_id in each of SALTS parts.
 TRAIN_PER_LANG = 800
+SALTS = 16
 #: Languages that a model may hold; the most frequent ones.
 MAX_LANGS = 256
 
@@ -126,9 +127,9 @@ def train(documents: DataFrame, learn=None, per_lang: int = TRAIN_PER_LANG) -> P
     if learn is not None:
         rows = rows.where(learn)
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # row_number under a bound is cut to per_lang rows in each input partition before it is shuffled.
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).join(F.broadcast(top), "lang").select("doc_id").distinct()
+    # Salted, so that a frequent language is ranked in SALTS places; a bounded row_number is cut in each input partition before the shuffle.
+    order = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))).orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(1, per_lang // SALTS)).join(F.broadcast(top), "lang").select("doc_id").distinct()
     sample = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def bundle(batch: pa.RecordBatch) -> pa.RecordBatch:
