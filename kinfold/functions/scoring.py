@@ -11,9 +11,9 @@ def dbl(x: float) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Over distinct tokens; 0 if either side has none."""
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), dbl(0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.greatest(union, F.lit(1)).cast("double"))
+    """Of two arrays of distinct tokens; 0 if either has none."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), dbl(0)).otherwise(shared.cast("double") / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1)).cast("double"))
 
 
 def same_answer(a: Column, b: Column) -> Column:
