@@ -220,7 +220,8 @@ def covered(documents: DataFrame, length: int = 200) -> DataFrame:
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 255}")
     named = _named(documents).select("id", "th", "text")
     places = materialize(_blocks(named, length), "blocks")
-    twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Written out, so that the join is a stage by itself, whose hot keys AQE splits.
+    twice = materialize(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "keys")
     places = materialize(places.join(twice, "h", "left_semi"), "twice")
     block = places.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "at")).alias("own"))
     kinds = block.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
