@@ -6,9 +6,10 @@ bucket's boundary) is smallest. Inside a bucket, texts form batches whose
 padded size stays within the token budget.
 
 A length is the number of tokens of the default byte tokenizer, one for each
-UTF-8 byte; any integer Column may take its place. Histograms of more than
-BINS lengths are kept at a step that leaves BINS bins; boundaries are then the
-largest length in a bin, and optimal among those.
+UTF-8 byte; any integer Column may take its place. The histogram holds lengths
+under 2^BITS exactly and longer ones to BITS significant bits (a boundary is the
+largest length in a bin, so one part in 2^(BITS - 1) at most is left), at any
+number of rows; boundaries are optimal among its lengths.
 
 Batches are numbered without gathering a bucket in one task: rows are ranked
 within salted parts of a bucket, and each part's offset comes from counted part
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+BITS = 14
 PART_ROWS = 50_000
 #: So many part sizes at most are broadcast.
 BROADCAST_PARTS = 100_000
@@ -39,26 +40,30 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     n = len(lengths)
     if n == 0:
         return []
-    # Lengths drop out of the sum as a constant: minimise the sum of boundary * count.
-    total = np.append(0, np.cumsum(counts.astype(np.float64)))
+    # Lengths drop out of the sum as a constant: minimise the sum of boundary * count, in exact integers.
+    x, total = lengths.tolist(), [0, *np.cumsum(counts).tolist()]
     buckets = min(buckets, n)
-    cost = lengths * total[1:]
+    alone = [x[j] * total[j + 1] for j in range(n)]
+    cost = alone
     choice = np.zeros((buckets, n), np.int64)
     for k in range(1, buckets):
-        now = np.empty(n)
+        # A last bucket i + 1..j costs cost[i] - x[j] * total[i + 1] + alone[j]: a line in x[j] for each i.
+        # Slopes fall with i and x grows, so the lower hull is walked once.
+        hull: list[tuple[int, int, int]] = []
+        head, now = 0, alone.copy()
         for j in range(n):
-            # The last bucket starts behind i: i = -1 stands for no bucket before it.
-            options = cost[:j] + lengths[j] * (total[j + 1] - total[1 : j + 1])
-            best = int(options.argmin()) if j else -1
-            alone = lengths[j] * total[j + 1]
-            if j and options[best] < alone:
-                now[j], choice[k, j] = options[best], best + 1
-            else:
-                now[j], choice[k, j] = alone, 0
+            while head + 1 < len(hull) and hull[head + 1][1] + hull[head + 1][0] * x[j] <= hull[head][1] + hull[head][0] * x[j]:
+                head += 1
+            if hull and (saved := hull[head][1] + hull[head][0] * x[j]) < 0:
+                now[j], choice[k, j] = alone[j] + saved, hull[head][2] + 1
+            slope, at = -total[j + 1], cost[j]
+            while len(hull) - head > 1 and (at - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - slope):
+                hull.pop()
+            hull.append((slope, at, j))
         cost = now
     out, j = [], n - 1
     for k in range(buckets - 1, -1, -1):
-        out.append(int(lengths[j]))
+        out.append(x[j])
         j = int(choice[k, j]) - 1
         if j < 0:
             break
@@ -66,14 +71,11 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
 
 
 def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct lengths (at most BINS + 1, each the largest of its bin) and their counts. lengths: column n_tokens."""
-    top = lengths.agg(F.max("n_tokens")).first()[0]
-    if top is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    step = max(1, -(-int(top) // BINS))
-    bins = lengths.groupBy(F.ceil(F.col("n_tokens") / step).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"))
-    # Bounded: at most BINS + 1 rows.
-    found = sorted((r["top"], r["n"]) for r in bins.collect())
+    """Distinct lengths (the largest of each bin) and their counts. lengths: column n_tokens."""
+    bits = F.greatest(F.length(F.bin("n_tokens")) - BITS, F.lit(0))
+    bins = lengths.withColumn("bits", bits).groupBy("bits", F.expr("shiftright(n_tokens, bits)").alias("bin"))
+    # Bounded: at most 2^BITS exact lengths and 2^(BITS - 1) for each further bit of the longest.
+    found = sorted((r["top"], r["n"]) for r in bins.agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n")).collect())
     return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
