@@ -446,14 +446,14 @@ def oracle_sql() -> dict[str, str]:
         "q_exact_clusters": f"WITH {_DOC} SELECT category, texthash, count(*) AS entries FROM tk WHERE norm <> '' GROUP BY ALL HAVING count(*) > 1",
         "q_exact_chain": f"WITH {_DOC}, {_CHAIN} SELECT category, texthash, x AS a, y AS b FROM ch WHERE x IS NOT NULL",
         "q_bucket_pairs": f"{_PAIRS} SELECT category, a, b FROM pr",
-        "q_scored_pairs": f"{_PAIRS} SELECT category, a, b, exact, false AS same_answer, same_type, round(jac, 5) AS token_jaccard, round(score, 5) AS score FROM sc",
-        "q_thresholded": f"{_PAIRS} SELECT category, a, b, round(score, 5) AS score FROM ok",
-        "q_answer_pairs": f"{_pairs_sql(_CONV_DOC)} SELECT category, a, b, exact, same_answer, round(score, 5) AS score FROM sc",
+        "q_scored_pairs": f"{_PAIRS} SELECT category, a, b, exact, false AS same_answer, same_type, round(jac::VARCHAR::DECIMAL(22, 18), 5)::DOUBLE AS token_jaccard, round(score::VARCHAR::DECIMAL(22, 18), 5)::DOUBLE AS score FROM sc",
+        "q_thresholded": f"{_PAIRS} SELECT category, a, b, round(score::VARCHAR::DECIMAL(22, 18), 5)::DOUBLE AS score FROM ok",
+        "q_answer_pairs": f"{_pairs_sql(_CONV_DOC)} SELECT category, a, b, exact, same_answer, round(score::VARCHAR::DECIMAL(22, 18), 5)::DOUBLE AS score FROM sc",
         "q_compare": f"{_COMPARED} SELECT a, b, classification, confidence, 1::BIGINT AS calls FROM cp WHERE exact",
-        "q_scan_open": f"{_COMPARED} SELECT category, a, b, round(score, 5) AS score, 'analysed' AS state, classification FROM cp",
+        "q_scan_open": f"{_COMPARED} SELECT category, a, b, round(score::VARCHAR::DECIMAL(22, 18), 5)::DOUBLE AS score, 'analysed' AS state, classification FROM cp",
         "q_greedy_unbound": f"{_PAIRS} SELECT category, a, b, 'active' AS result FROM ok",
         "q_pair_merge": f"""{_MERGE} SELECT category, a, b, CASE result WHEN 'active' THEN 'candidate' ELSE was END AS state, CASE WHEN result <> 'active' THEN 'unrelated' END AS classification,
-  CASE WHEN was = 'ignored' THEN 0.5::DOUBLE ELSE round(score, 5) END AS score, CASE WHEN was = 'ignored' THEN 1 ELSE 2 END::BIGINT AS lastscanid, CASE WHEN was IS NULL THEN 20 ELSE 10 END::BIGINT AS timecreated, CASE WHEN was = 'ignored' THEN 10 ELSE 20 END::BIGINT AS timemodified FROM rs""",
+  CASE WHEN was = 'ignored' THEN 0.5::DOUBLE ELSE round(score::VARCHAR::DECIMAL(22, 18), 5)::DOUBLE END AS score, CASE WHEN was = 'ignored' THEN 1 ELSE 2 END::BIGINT AS lastscanid, CASE WHEN was IS NULL THEN 20 ELSE 10 END::BIGINT AS timecreated, CASE WHEN was = 'ignored' THEN 10 ELSE 20 END::BIGINT AS timemodified FROM rs""",
         "q_scan_stats": f"{_MERGE} SELECT category, count(*) FILTER (result = 'active') AS active, count(*) FILTER (result = 'reused') AS reused, count(*) FILTER (result = 'still') AS suppressed, count(*) FILTER (result = 'active') AS newpending FROM rs GROUP BY category",
         "q_changed": "SELECT doc_id AS entry, CASE WHEN doc_id % 10 = 3 THEN 'added' WHEN doc_id % 4 = 0 THEN 'changed' ELSE 'same' END AS change FROM documents",
         "q_stale": "SELECT doc_id AS entry FROM documents WHERE doc_id % 6 = 1 AND source IN (SELECT source FROM documents WHERE doc_id % 6 <> 1)",
