@@ -21,7 +21,8 @@ from kinfold.plans.config import Config
 from kinfold.sources import tables as src
 from kinfold.sources.staging import shared_dir, stage
 
-BUCKET, CAP, BUDGET = 40, 5, 60
+#: The bucket limit of the queries that are held against SQL, which is written with it; q_greedy and q_scan take the defaults of Config.
+BUCKET = 40
 
 
 def _texts(spark, d, name="documents"):
@@ -138,8 +139,8 @@ def q_scored_pairs(spark, d):
     return cand.scored(cand.positions(snaps, BUCKET), snaps).select("category", "a", "b", "exact", "same_answer", "same_type", F.round("jaccard", 5).alias("token_jaccard"), F.round("score", 5).alias("score"))
 
 
-def _candidates(spark, d):
-    return stage(cand.candidates(stage(_snapshots(spark, d), "snapshots"), Config(max_bucket=BUCKET)), "candidates")
+def _candidates(spark, d, config=Config(max_bucket=BUCKET)):
+    return stage(cand.candidates(stage(_snapshots(spark, d), "snapshots"), config), "candidates")
 
 
 def q_thresholded(spark, d):
@@ -152,8 +153,9 @@ def q_answer_pairs(spark, d):
 
 
 def q_greedy(spark, d):
-    found = _candidates(spark, d).withColumn("kind", F.when((F.col("a") + F.col("b")) % 7 == 0, "reused").when((F.col("a") + F.col("b")) % 11 == 0, "still").otherwise("new"))
-    return greedy.select_pairs(found, CAP, BUDGET).select("category", "a", "b", "result")
+    config = Config()
+    found = _candidates(spark, d, config).withColumn("kind", F.when((F.col("a") + F.col("b")) % 7 == 0, "reused").when((F.col("a") + F.col("b")) % 11 == 0, "still").otherwise("new"))
+    return greedy.select_pairs(found, config.item_limit, config.budget).select("category", "a", "b", "result")
 
 
 def q_greedy_unbound(spark, d):
@@ -314,12 +316,12 @@ def _scan(spark, d, config):
 
 
 def q_scan(spark, d):
-    """The flagship: a whole scan of all documents with the local comparator."""
-    return _scan(spark, d, Config(max_bucket=BUCKET))
+    """The flagship: a whole scan of all documents with the local comparator, under the default limits."""
+    return _scan(spark, d, Config())
 
 
 def q_scan_open(spark, d):
-    """The same with a cap and a budget that cannot bind."""
+    """The same with a cap and a budget that cannot bind, over buckets of up to BUCKET items."""
     return _scan(spark, d, Config(max_bucket=BUCKET, max_per_item=1_000_000, max_new_pairs=1_000_000_000))
 
 
