@@ -1,6 +1,8 @@
 """Licence scans: a trained paragraph classifier, made of DataFrame and SQL functions only.
 
-Paragraphs are lines. Their word unigrams and bigrams are hashed into a sparse
+Paragraphs are lines and, so that wrapped notices are seen whole, runs of 2 to
+RUN_LINES adjacent lines without a blank one in between, where a licence word
+(LICENCE_WORDS) occurs. Their word unigrams and bigrams are hashed into a sparse
 vector, and a multinomial logistic regression tells the licence families, an
 `unknown` licence class, and no licence. It is trained on the templates below,
 varied by left-out and added words, on licence sentences of no family, and on a
@@ -8,9 +10,14 @@ bounded sample of paragraphs of the corpus itself (those of SAMPLE_DOCS
 documents) as no licence.
 
 A prediction is confirmed by template comparison: the share of a template's
-words that the paragraph holds; what resembles no template at all is no
-licence. The probability under which a family becomes
-`unknown` is calibrated on variants that are kept out of the training.
+words that the paragraph holds. A line that resembles no template is an
+`unknown` licence if it holds a licence word and the classifier is sure
+(UNLISTED). Runs must hold LEAST_OVERLAP of a template. The probability under
+which a family becomes `unknown` is calibrated on variants that are kept out of
+the training.
+
+Of paragraphs that share lines one is reported: families before `unknown`, then
+the larger overlap, then the fewer lines. A run is numbered by its first line.
 
 Edge cases: null or empty texts have no paragraphs that are licences; repeated
 rows and paragraphs are reported each; ties in probability go to the smaller
@@ -39,6 +46,12 @@ VARIANTS = 24
 LEAST_OVERLAP = 0.6
 #: What an unknown licence must share with some template.
 UNKNOWN_OVERLAP = 0.4
+#: The probability of a licence from which a line with a licence word needs no template.
+UNLISTED = 0.8
+#: Lines of a wrapped notice: the longest template (236 characters) at 40 columns has 6.
+RUN_LINES = 8
+#: Words that notices have and other prose hardly has. Corpus lines with one are no training examples of no licence.
+LICENCE_WORDS = r"(?i)\b(licen[cs]\w*|copyright\w*|(un)?copyrighted|rights|redistribut\w*|permission|permitted|unencumbered|gnu|gpl\w*|cc0|warrant(y|ies))\b|spdx|public domain|\b(source code form|free software)\b"
 
 # Short public notices of each family.
 TEMPLATES: dict[str, list[str]] = {
@@ -137,6 +150,23 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     return lines.where(F.col("para").rlike(r"[\p{L}\p{N}]"))
 
 
+def runs(documents: DataFrame) -> DataFrame:
+    """row, doc_id, paragraph, lines, para: every line as in paragraphs(), and the runs of lines that may be a wrapped notice."""
+    item = lambda i, n, para: F.struct(i.alias("paragraph"), F.lit(n).alias("lines"), para.alias("para"))
+
+    def every(lines: Column) -> Column:
+        single = F.transform(lines, lambda x, i: item(i, 1, x))
+        joined = lambda n: F.transform(lines, lambda x, i: item(i, n, F.array_join(F.slice(lines, i + 1, n), "\n")))
+        whole = F.concat(*[F.slice(joined(n), 1, F.greatest(F.size(lines) - n + 1, F.lit(0))) for n in range(2, RUN_LINES + 1)])
+        wrapped = F.filter(whole, lambda x: x["para"].rlike(LICENCE_WORDS) & ~x["para"].rlike(r"(?:^|\n)[^\p{L}\p{N}\n]*(?:\n|$)"))
+        return F.when(F.exists(lines, lambda x: x.rlike(LICENCE_WORDS)), F.concat(single, wrapped)).otherwise(single)
+
+    # Bound by a lambda, so that the text is split once.
+    bound = F.element_at(F.transform(F.array(F.split(F.coalesce("text", F.lit("")), "\n")), every), 1)
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").select("row", "doc_id", F.inline(bound))
+    return rows.where(F.col("para").rlike(r"[\p{L}\p{N}]"))
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     """class, template, para: one row for each template, from constants of the plan."""
     rows = [(c, k, t) for c, ts in TEMPLATES.items() for k, t in enumerate(ts)]
@@ -155,10 +185,10 @@ def training_rows(documents: DataFrame) -> DataFrame:
     some = F.when(F.col("variant") == 0, w).when(F.col("variant") % 3 == 1, F.concat(F.slice(noise, 1, 3), w, F.slice(noise, 4, 3))).otherwise(F.filter(w, keep))
     known = varied.select("class", (F.pmod(F.xxhash64("para", "variant"), F.lit(5)) > 0).cast("int").alias("fold"), some.alias("w"))
     chosen = documents.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    lines = paragraphs(chosen)
+    lines = paragraphs(chosen).where(~F.col("para").rlike(LICENCE_WORDS))
     chosen = lines.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(SAMPLE_LINES)
     other = materialize(chosen.select(words(F.col("para")).alias("w")), "licence-sample")
-    templates = F.array(*[_template_words(t) for c, ts in TEMPLATES.items() if c not in (NONE, UNKNOWN) for t in ts])
+    templates = F.array(*[_template_words(t) for c, ts in TEMPLATES.items() if c != NONE for t in ts])
     other = other.where(~F.exists(templates, lambda t: _overlap(F.col("w"), t) >= LEAST_OVERLAP))
     return known.unionByName(other.select(F.lit(NONE).alias("class"), F.lit(1).alias("fold"), "w")).where(F.size("w") > 0)
 
@@ -206,16 +236,27 @@ def scan(documents: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     scanner = scanner or train(documents)
     classes = scanner.classes
     none, unknown = classes.index(NONE) + 1, classes.index(UNKNOWN) + 1
-    rows = scanner.probabilities(paragraphs(documents).withColumn("w", words(F.col("para"))))
+    rows = scanner.probabilities(runs(documents).withColumn("w", words(F.col("para"))).withColumn("worded", F.col("para").rlike(LICENCE_WORDS)).drop("para"))
     # The few paragraphs that are licences are written out, so that the model runs once on each paragraph.
-    found = materialize(rows.where(F.element_at("p", none) < 0.5).select("doc_id", "paragraph", "w", "p"), "licences")
+    found = materialize(rows.where(F.element_at("p", none) < 0.5).select("row", "doc_id", "paragraph", "lines", "worded", "w", "p"), "licences")
     families = [c for c in classes if c not in (NONE, UNKNOWN)]
     each = F.array(*[F.struct(F.element_at("p", classes.index(c) + 1).alias("p"), F.lit(-k).alias("order"), F.lit(c).alias("family"), F.array(*[_template_words(t) for t in TEMPLATES[c]]).alias("templates")) for k, c in enumerate(families)])
     best = found.withColumn("best", F.array_max(F.transform(each, lambda x: F.struct(x["p"].alias("p"), x["order"].alias("order"), x["family"].alias("family"), F.array_max(F.transform(x["templates"], lambda t: _overlap(F.col("w"), t))).alias("overlap")))))
     likeness = F.array(*[_template_words(t) for c, ts in TEMPLATES.items() if c != NONE for t in ts])
-    any_overlap = F.array_max(F.transform(likeness, lambda t: _overlap(F.col("w"), t)))
+    best = best.withColumn("any_overlap", F.array_max(F.transform(likeness, lambda t: _overlap(F.col("w"), t))))
     sure = (F.col("best.p") >= scanner.floor) & (F.col("best.overlap") >= LEAST_OVERLAP) & (F.col("best.p") >= F.element_at("p", unknown))
-    return best.where(sure | (any_overlap >= UNKNOWN_OVERLAP)).select(
-        "doc_id", F.col("paragraph").cast("int").alias("paragraph"), F.when(sure, F.col("best.family")).otherwise(UNKNOWN).alias("family"),
-        F.round(F.when(sure, F.col("best.p")).otherwise(1 - F.element_at("p", none)), 4).alias("probability"), F.round("best.overlap", 4).alias("overlap"),
+    line = (F.col("any_overlap") >= UNKNOWN_OVERLAP) | (F.col("worded") & (1 - F.element_at("p", none) >= UNLISTED))
+    told = best.where(sure | F.when(F.col("lines") == 1, line).otherwise(F.col("any_overlap") >= LEAST_OVERLAP)).select(
+        "row", "doc_id", F.struct(
+            (~sure).alias("unsure"), (-F.when(sure, F.col("best.overlap")).otherwise(F.col("any_overlap"))).alias("order"), "lines", F.col("paragraph").cast("int").alias("paragraph"),
+            F.when(sure, F.col("best.family")).otherwise(UNKNOWN).alias("family"), F.round(F.when(sure, F.col("best.p")).otherwise(1 - F.element_at("p", none)), 4).alias("probability"), F.round("best.overlap", 4).alias("overlap"),
+        ).alias("item"),
     )
+    apart = lambda x, y: (x["paragraph"] + x["lines"] <= y["paragraph"]) | (y["paragraph"] + y["lines"] <= x["paragraph"])
+    items = told.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("item")).alias("items"))
+    # A line that is sure by itself needs no run around it.
+    alone = F.filter("items", lambda x: (x["lines"] == 1) & ~x["unsure"])
+    items = items.withColumn("alone", alone).withColumn("items", F.filter("items", lambda x: (x["lines"] == 1) | ~F.exists("alone", lambda y: (y["family"] == x["family"]) & ~apart(x, y))))
+    none_yet = F.filter("items", lambda x: F.lit(False))
+    taken = F.aggregate("items", none_yet, lambda seen, x: F.when(F.exists(seen, lambda y: ~apart(x, y)), seen).otherwise(F.concat(seen, F.array(x))))
+    return items.select("doc_id", F.inline(taken)).select("doc_id", "paragraph", "family", "probability", "overlap")
