@@ -69,13 +69,16 @@ def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def nearest(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows but the query's own. rough: cosines good to 1e-9, which choose whose exact ones are taken."""
+    """The k nearest ids but the query's own, each by its nearest row. rough: cosines good to 1e-9, which choose whose exact ones are taken."""
     live = np.flatnonzero(ids != query_id)
-    if len(live) > k:
+    # An id may have several vectors: so many rows hold k ids.
+    least = k * int(np.unique(ids[live], return_counts=True)[1].max(initial=1))
+    if len(live) > least:
         r = rough[live]
-        live = live[r >= np.partition(r, len(r) - k)[len(r) - k] - 1e-9]
+        live = live[r >= np.partition(r, len(r) - least)[len(r) - least] - 1e-9]
     score = cosines(query, rows[live])
-    order = np.lexsort((ids[live], -score))[:k]
+    order = np.lexsort((ids[live], -score))
+    order = order[np.sort(np.unique(ids[live[order]], return_index=True)[1])][:k]
     return ids[live[order]], score[order]
 
 
@@ -131,7 +134,7 @@ def _probe(indexed: DataFrame, asked: DataFrame, dims: int, tables: int, probes:
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: about the k nearest of each row under `is_query` among all others."""
-    rows = V.valid(vectors).where(F.exists(V.VECTOR, lambda x: x != 0))
+    rows = V.valid(vectors).where(F.exists(V.VECTOR, lambda x: x != 0)).dropDuplicates([V.ID, V.VECTOR])
     n, dims = V.extent(rows)
     if n <= EXACT_ROWS:
         tables, probes = 1, 2 << max(0, dims - 1).bit_length()
