@@ -13,8 +13,9 @@ MIN_SEEN times whose importance is under MIN_IMPORTANCE repeats one boilerplate
 text all over the site, and its blocks are removed from each page. Nodes whose
 tag, class, id or role says what they are (navigation, page header and footer,
 sidebar, notice, advert, form, script, style, reader comments) have importance
-0 by definition, since their words may differ on each page. If a page has
-article or main elements with text, only those count.
+0 by definition, since their words may differ on each page. Inside of
+article and main elements only whole classes and ids say so, not words of a slug
+such as id="related-work". If a page has article or main elements with text, only those count.
 
 Blocks: text between the borders of block elements; references are decoded by
 the rules of HTML5, white space in a block becomes one space, blocks are joined
@@ -98,17 +99,19 @@ class _Style:
             return tag, tag in NOISE_TAGS, tag in PAGE_TAGS, tag in MAIN
         found = cls.known.get((tag, attrs))
         if found is None:
-            key, words, hidden, role = tag, set(), False, ""
+            key, words, whole, hidden, role = tag, set(), set(), False, ""
             for name, *values in ATTR.findall(attrs):
                 name, value = name.lower(), unescape("".join(values)).lower()
                 if name == "hidden" or name == "aria-hidden":
                     hidden |= name == "hidden" or value == "true"
                 else:
                     key += f" {name}={' '.join(sorted(value.split()))}"
-                    words |= set(WORD.findall(value)) if name != "role" else set()
+                    if name != "role":
+                        words |= set(WORD.findall(value))
+                        whole |= set(value.split())
                     role = value.strip() if name == "role" else role
-            noise = tag in NOISE_TAGS or hidden or bool(words & NOISE_WORDS) or role in NOISE_ROLES
-            found = key, noise and tag not in ("html", "body"), (tag in PAGE_TAGS or bool(words & PAGE_WORDS)) and tag not in ("html", "body"), tag in MAIN or role == "main"
+            noise = tag in NOISE_TAGS or hidden or bool(whole & NOISE_WORDS) or role in NOISE_ROLES
+            found = key, noise and tag not in ("html", "body"), (tag in PAGE_TAGS or bool(words & (PAGE_WORDS | NOISE_WORDS))) and tag not in ("html", "body"), tag in MAIN or role == "main"
             if len(cls.known) < 10_000:
                 cls.known[tag, attrs] = found
         return found
