@@ -148,7 +148,7 @@ def test_site_style_tree(spark):
         assert got[i].text == f"Title {i} & ©\nOne bold text {i}\ntwo & x" and got[i].n_chars == len(got[i].text)
     assert [got[i].text for i in (50, 51, 52, 53)] == ["", "", "plain <", "a\nb\nc\nd"]
     assert html.extract(df.limit(0)).count() == 0
-    assert "Follow us" in html.main_text(html.parse(PAGE)[0])
+    assert "Follow us" in html.main_text(html.Page(PAGE))
 
 
 LANGS = {"aa": "lorem ipsum dolor sit amet", "bb": "über straße schön groß", "cc": "que los niños año mañana"}
