@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 ID, VECTOR = "vec_id", "embedding"
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding array<double>: rows with an id and a non-empty vector of finite components."""
+def valid(vectors: DataFrame, exact: bool = False) -> DataFrame:
+    """vec_id, embedding: rows with an id and a non-empty vector of finite components.
+
+    Vectors are array<double>; with `exact`, array<float> stays what it is.
+    """
     bad = F.exists(VECTOR, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(ID).cast("long").alias(ID), F.col(VECTOR).cast("array<double>").alias(VECTOR)).where(F.col(ID).isNotNull() & F.col(VECTOR).isNotNull() & (F.size(VECTOR) > 0) & ~bad)
+    kind = "array<float>" if exact and dict(vectors.dtypes)[VECTOR] == "array<float>" else "array<double>"
+    return vectors.select(F.col(ID).cast("long").alias(ID), F.col(VECTOR).cast(kind).alias(VECTOR)).where(F.col(ID).isNotNull() & F.col(VECTOR).isNotNull() & (F.size(VECTOR) > 0) & ~bad)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
-    """Rows of an array<double> column, shorter ones filled with zeros."""
+    """Rows of an array column as doubles, shorter ones filled with zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
@@ -28,7 +32,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     size = np.diff(column.offsets.to_numpy())
     if (size == dims).all():
-        return flat.reshape(-1, dims)
+        return flat.reshape(-1, dims).astype(np.float64, copy=False)
     out = np.zeros((len(column), dims))
     row = np.repeat(np.arange(len(size)), size)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat

@@ -47,8 +47,7 @@ def test_maxscore_beyond_doubles_and_few_candidates(spark):
     assert maxscore.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
-def test_cross_polytope_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(crosspolytope, "EXACT_ROWS", 100)
+def test_cross_polytope_recall_and_exact_scores(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24))
     x[1000:] = x[rng.integers(0, 50, 500)] + 0.1 * rng.normal(size=(500, 24))
