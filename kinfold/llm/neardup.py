@@ -7,16 +7,22 @@ bitmap of SKETCH_BITS bits (odd sketch); the population count of two bitmaps'
 XOR estimates the Jaccard similarity, and only pairs whose estimate is within
 SLACK of the threshold are confirmed, exactly, on the full sets.
 
-No bucket's pairs are written out. Equal sets are one class. Star rounds link
-the members of a bucket to one of them, by classes that are not yet connected;
-what remains unconnected inside a bucket after them is compared in blocks,
-which emit only confirmed links that join components. So links may be skipped
-between texts that are connected already, and components are complete.
+No bucket's pairs are written out. Equal sets are one class, and classes, not
+doc_ids, are what is linked. Star rounds link the members of a bucket to one of
+them, by classes that are not yet connected; what remains unconnected inside a
+bucket after them is compared in blocks: first by sketches alone, then, with
+full sets, those members that have a partner by their sketches. The blocks emit
+only confirmed links that join components. So links may be skipped between texts
+that are connected already, and components are complete.
 
 Edge cases: null, empty or word-free texts have an empty set and are linked
-with nothing; a text of fewer words than a shingle has its whole sequence as
-the one shingle; repeated rows are equal sets; doc_id is a key (a null doc_id
-takes the component of its class's smallest id, or null); ties cannot occur.
+with nothing, nor with each other; a text of fewer words than a shingle has its
+whole sequence as the one shingle; long texts are read whole; repeated rows are
+equal sets. A doc_id that several texts share names each of them and links none:
+each row has the component of its own text. A null doc_id is linked like any
+other but names no component; component_id is null where no doc_id is reachable
+(kept is false there). Other columns than doc_id and text are not read by
+near_duplicates, and passed on by representatives, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import textvec as tv
@@ -38,22 +44,32 @@ SKETCH_BITS = 1024
 #: Five standard deviations of an estimate from 160 minima at 0.8, with room for the bitmap's collisions.
 SLACK = 0.18
 STAR_ROUNDS = 2
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
+#: Stands for a null doc_id in the names of rows (doc_id, hash of the text).
+NAMELESS = -(2**63)
 
 _rng = np.random.default_rng(97)
 _FACTOR = _rng.integers(0, 2**63, MINHASHES, dtype=np.uint64) * tv.U64(2) + tv.U64(1)
 _ADD = _rng.integers(0, 2**63, MINHASHES, dtype=np.uint64)
 
 
+def identities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two 64-bit identities of each set (n x 2); empty sets have zeros."""
+    full = np.flatnonzero(np.diff(at) > 0)
+    out = np.zeros((len(at) - 1, 2), np.uint64)
+    if len(full):
+        out[full, 0] = np.add.reduceat(sets, at[full])
+        out[full, 1] = np.bitwise_xor.reduceat(tv.mix(sets + tv.BASE), at[full])
+    return out
+
+
 def signatures(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two 64-bit identities of each set (n x 2), its band keys (n x BANDS) and its odd sketch (n x SKETCH_BITS / 64). Empty sets have zeros."""
     n = len(at) - 1
     full = np.flatnonzero(np.diff(at) > 0)
-    identity, bands, sketch = np.zeros((n, 2), np.uint64), np.zeros((n, BANDS), np.uint64), np.zeros((n, SKETCH_BITS // 64), np.uint64)
+    identity, bands, sketch = identities(sets, at), np.zeros((n, BANDS), np.uint64), np.zeros((n, SKETCH_BITS // 64), np.uint64)
     if len(full):
         starts = at[full]
-        identity[full, 0] = np.add.reduceat(sets, starts)
-        identity[full, 1] = np.bitwise_xor.reduceat(tv.mix(sets + tv.BASE), starts)
         minima = np.empty((len(full), MINHASHES), np.uint64)
         for k in range(MINHASHES):
             minima[:, k] = np.minimum.reduceat(sets * _FACTOR[k] + _ADD[k], starts)
@@ -68,8 +84,13 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return identity, bands, sketch
 
 
+def _named(documents: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), text."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
 def features(documents: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2, bands, sketch of every document."""
+    """doc_id, th (hash of the text), n_shingles, s1, s2, bands, sketch of every document."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = tv.raw_bytes(batch.column("text"))
@@ -80,26 +101,29 @@ def features(documents: DataFrame, shingle: int) -> DataFrame:
         n, identity, bands, sketch = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, SKETCH_BITS // 64), np.uint64))
         lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
         whole = identity.view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), lists(bands), lists(sketch)], ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n.astype(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), lists(bands), lists(sketch)], ["doc_id", "th", "n_shingles", "s1", "s2", "bands", "sketch"])
 
-    return arrow_map(documents.select("doc_id", "text"), run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>")
+    return arrow_map(_named(documents).select("doc_id", "th", "text"), run, "doc_id long, th long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>")
 
 
 def full_sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """node, items: the sorted distinct shingle hashes of every document."""
+    """s1, s2, n_shingles, items: the sorted distinct shingle hashes of every document, by the identity of the set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = tv.raw_bytes(batch.column("text"))
-        parts, ends, base = [], [np.zeros(1, np.int64)], 0
+        parts, ends, identity, base = [], [np.zeros(1, np.int64)], [], 0
         for i, j in tv.slices(offsets):
             sets, at = tv.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+            identity.append(identities(sets, at).view(np.int64))
             parts.append(sets.view(np.int64))
             ends.append(at[1:] + base)
             base += len(sets)
-        items = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), items], ["node", "items"])
+        ends = np.concatenate(ends)
+        items = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+        whole = np.concatenate(identity) if identity else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), pa.array(np.diff(ends)), items], ["s1", "s2", "n_shingles", "items"])
 
-    return arrow_map(documents.select("doc_id", "text"), run, "node long, items array<long>")
+    return arrow_map(documents.select("text"), run, "s1 long, s2 long, n_shingles long, items array<long>")
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -136,23 +160,50 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(mixed, "key")
 
 
-def _rest(members: DataFrame, nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links a, b between members of different labels, by blocks of each bucket; links inside a joined group are left out."""
+def _cells(members: DataFrame) -> DataFrame:
+    """key, i, j, own, node, label: the members of each pair of blocks of a bucket."""
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    cells = cells.join(nodes, "node").join(reps.select("node", "bands"), "node")
+    return cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+
+
+def _partners(group: pa.Table, percent: int):
+    """For each row of a cell: the rows that may be linked with it, each pair once, in the first band that it shares."""
+    key = group.column("key")[0].as_py()
+    label, node, own, n = (group.column(c).to_numpy() for c in ("label", "node", "own", "n_shingles"))
+    wide = lambda c: np.stack([np.asarray(x.values, np.int64) for x in group.column(c)])
+    bands, sketch = wide("bands"), wide("sketch").view(np.uint64)
+    band = int(np.flatnonzero((bands == key).all(0))[0])
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     floor = math.floor(percent * 10) / 1000 - SLACK
+    for r in range(len(node)):
+        fine = (label != label[r]) & (np.minimum(n, n[r]) * 100 >= np.maximum(n, n[r]) * percent)
+        fine &= (node > node[r]) if i == j else (own != own[r]) & (own[r] == i)
+        near = np.flatnonzero(fine)
+        rough = np.bitwise_count(sketch[near] ^ sketch[r]).sum(1)
+        near = near[1 + np.log(np.maximum(1 - 2.0 * rough / SKETCH_BITS, 1e-9)) * (SKETCH_BITS / 4 / MINHASHES) >= floor]
+        near = near[~(bands[near, :band] == bands[r, :band]).any(1)]
+        if len(near):
+            yield r, near
+
+
+def _rest(members: DataFrame, nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links a, b between members of different labels, by blocks of each bucket; links inside a joined group are left out.
+
+    First the blocks meet with their sketches only and tell who has a partner; full sets are sent for those.
+    """
+
+    def hopeful(group: pa.Table) -> pa.Table:
+        hit = np.zeros(len(group), bool)
+        for r, near in _partners(group, percent):
+            hit[r] = True
+            hit[near] = True
+        return group.select(["key", "i", "j", "own", "node", "label"]).filter(pa.array(hit))
 
     def compare(group: pa.Table) -> pa.Table:
-        key = group.column("key")[0].as_py()
-        label, node, own, n = (group.column(c).to_numpy() for c in ("label", "node", "own", "n_shingles"))
-        wide = lambda c: np.stack([np.asarray(x.values, np.int64) for x in group.column(c)])
-        bands, sketch = wide("bands"), wide("sketch").view(np.uint64)
+        label, node = group.column("label").to_numpy(), group.column("node").to_numpy()
         items = [np.asarray(x.values, np.int64) for x in group.column("items")]
-        band = int(np.flatnonzero((bands == key).all(0))[0])
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         root = {x: x for x in label.tolist()}
 
         def find(x):
@@ -162,14 +213,8 @@ def _rest(members: DataFrame, nodes: DataFrame, reps: DataFrame, percent: int) -
             return x
 
         out = []
-        for r in range(len(node)):
-            rough = np.bitwise_count(sketch ^ sketch[r]).sum(1)
-            similar = 1 + np.log(np.maximum(1 - 2.0 * rough / SKETCH_BITS, 1e-9)) * (SKETCH_BITS / 4 / MINHASHES) >= floor
-            # A pair is compared in the first band that it shares only, and once.
-            first = ~(bands[:, :band] == bands[r, :band]).any(1)
-            fine = similar & first & (label != label[r]) & (np.minimum(n, n[r]) * 100 >= np.maximum(n, n[r]) * percent)
-            fine &= (node > node[r]) if i == j else (own != own[r]) & (own[r] == i)
-            for s in np.flatnonzero(fine):
+        for r, near in _partners(group, percent):
+            for s in near:
                 x, y = find(label[r]), find(label[s])
                 if x == y:
                     continue
@@ -180,21 +225,28 @@ def _rest(members: DataFrame, nodes: DataFrame, reps: DataFrame, percent: int) -
         a = np.array(out, np.int64).reshape(-1, 2)
         return pa.table([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
-    return cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    schema = "key long, i int, j int, own int, node long, label long"
+    light = reps.select("node", "n_shingles", "bands", "sketch")
+    cells = materialize(_cells(members).join(light, "node").groupBy("key", "i", "j").applyInArrow(hopeful, schema), "hopeful")
+    full = cells.join(light, "node").join(nodes.select("node", "items"), "node")
+    return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def _placed(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, label (of the component; null for empty sets) of every document."""
     found = materialize(features(documents, shingle), "features")
-    classes = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    classes = materialize(classes, "classes")
-    reps = found.join(classes.select(F.col("node").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch").dropDuplicates(["node"])
+    name = F.struct(F.coalesce("doc_id", F.lit(NAMELESS)).alias("id"), "th")
+    same = found.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min(name).alias("own"), F.first(F.struct("bands", "sketch")).alias("x"))
+    # Written once, so that the numbers stay.
+    reps = materialize(same.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n_shingles", "doc", "own", "x.bands", "x.sketch"), "classes")
     rows = reps.select(F.explode("bands").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1")
     members = materialize(rows.join(shared.select("key", "lead"), "key"), "members")
-    wanted = members.select("node").distinct()
-    texts = documents.select("doc_id", "text").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    nodes = materialize(full_sets(texts, shingle).dropDuplicates(["node"]).join(reps.select("node", "n_shingles", "sketch"), "node"), "sets")
+    wanted = reps.join(members.select("node").distinct(), "node", "left_semi")
+    names = wanted.select("own.id", "own.th").distinct()
+    texts = _named(documents).withColumn("id", F.coalesce("doc_id", F.lit(NAMELESS))).join(names, ["id", "th"], "left_semi")
+    sets = full_sets(texts, shingle).groupBy("s1", "s2", "n_shingles").agg(F.first("items").alias("items"))
+    nodes = materialize(sets.join(wanted, ["s1", "s2", "n_shingles"]).select("node", "n_shingles", "sketch", "items"), "sets")
 
     tested = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     edges = materialize(confirmed(tested, nodes, percent), "links")
@@ -217,7 +269,34 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         if not more.isEmpty():
             components = materialize(connected_components(edges.unionByName(more)), "components")
 
-    placed = _labels(classes, components).select("s1", "s2", "n_shingles", F.col("label").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "s1", "s2").join(placed, ["s1", "s2", "n_shingles"], "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))
+    classes = _labels(reps.select("node", "s1", "s2", "n_shingles", "doc"), components)
+    least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
+    classes = classes.join(least, "label").select("s1", "s2", "n_shingles", "label", "component_id")
+    out = found.select("doc_id", "th", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
+    # An empty set is a component by itself.
+    return out.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    out = _placed(documents, shingle, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def representatives(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of `documents`, with all its columns, of each component: that of the smallest doc_id (none last), then of the smallest text hash.
+
+    Texts without words are components by themselves; of repeated (doc_id, text) rows one stays, the smallest by the other columns.
+    """
+    placed = materialize(_placed(documents, shingle, percent), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(NAMELESS)).alias("_kf_id"), F.col("th").alias("_kf_th"))
+    first = placed.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("x")).select("x._kf_id", "x._kf_th")
+    empty = placed.where("label IS NULL").select(F.coalesce("doc_id", F.lit(NAMELESS)).alias("_kf_id"), F.col("th").alias("_kf_th"))
+    rows = placed.groupBy(F.coalesce("doc_id", F.lit(NAMELESS)).alias("_kf_id"), F.col("th").alias("_kf_th")).agg(F.count(F.lit(1)).alias("_kf_n"))
+    chosen = materialize(rows.join(first.unionByName(empty).distinct(), ["_kf_id", "_kf_th"], "left_semi"), "chosen")
+    named = documents.withColumns({"_kf_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS)), "_kf_th": F.xxhash64("text")})
+    single = named.join(chosen.where("_kf_n = 1"), ["_kf_id", "_kf_th"], "left_semi").select(*documents.columns)
+    # Rows that are there several times: the window is cut to one row a name in each input partition before the shuffle.
+    by = Window.partitionBy("_kf_id", "_kf_th").orderBy(*[F.col(f"`{c}`").cast("string") for c in documents.columns if c not in ("doc_id", "text")], F.lit(0))
+    several = named.join(chosen.where("_kf_n > 1").select("_kf_id", "_kf_th"), ["_kf_id", "_kf_th"], "left_semi").withColumn("_kf_r", F.row_number().over(by)).where("_kf_r = 1")
+    return single.unionByName(several.select(*documents.columns))

@@ -85,6 +85,23 @@ def test_near_duplicates_empty_table_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(twice).collect()) == [(0, 0, True), (0, 0, True), (1, 0, False)]
 
 
+def test_doc_ids_of_several_texts_and_null_ids_keep_their_links(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
+    a, b = rng.choices(words, k=80), rng.choices(words, k=80)
+    text = lambda w, extra="": " ".join([*w, extra]).strip()
+    df = spark.createDataFrame([(1, text(a), "x", None), (1, text(b), "x", None), (2, text(a, "zz"), "x", None), (3, text(b, "zz"), "x", None)], DOC)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    assert sorted((r.doc_id, r.text) for r in neardup.representatives(df).collect()) == sorted([(1, text(a)), (1, text(b))])
+    rows = [(None, text(a), "x", None), (None, text(a, "zz"), "x", None), (7, text(b), "x", None), (None, text(b, "yy"), "x", None), (None, None, "x", None), (None, "", "y", None), (7, text(b), "w", None)]
+    df = spark.createDataFrame(rows, DOC)
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()]
+    assert collections.Counter(got) == {(None, None, False): 4, (None, 7, False): 1, (7, 7, True): 2}
+    kept = [tuple(r) for r in neardup.representatives(df).collect()]
+    assert collections.Counter(kept) == collections.Counter([next(r for r in sorted(kept, key=str) if r[1] in (text(a), text(a, "zz"))), (7, text(b), "w", None), (None, None, "x", None), (None, "", "y", None)])
+    assert neardup.representatives(df.limit(0)).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
     random.Random(1).shuffle(edges)
