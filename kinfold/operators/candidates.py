@@ -65,21 +65,32 @@ def bucket_pairs(snaps: DataFrame, limit: int) -> DataFrame:
     return positions(snaps, limit).select("category", "a", "b")
 
 
-def scored(pairs: DataFrame, snaps: DataFrame) -> DataFrame:
-    """`pairs` with the heuristics, score and threshold of each."""
-    side = lambda x: snaps.select(F.col("entry").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("qtype", "sourcehash", "texthash", "answerhash", "normalizedtext", "tokens")])
-    light = lambda x: side(x).withColumn(f"full_{x}", F.col(f"normalizedtext_{x}") != "").drop(f"normalizedtext_{x}")
-    both = pairs.join(light("a"), "a").join(light("b"), "b")
-    flagged = both.withColumns({
+def scored(pairs: DataFrame, snaps: DataFrame, passing: bool = False) -> DataFrame:
+    """`pairs` with the heuristics, score and threshold of each; with `passing`, only those that reach it.
+
+    Counts of tokens come first: a Jaccard similarity is at most the smaller set's
+    share of the larger one (in doubles, too, as division and the score never
+    fall), so with `passing` token sets join only pairs that may reach the threshold.
+    """
+    columns = ("qtype", "sourcehash", "texthash", "answerhash")
+    light = lambda x: snaps.select(F.col("entry").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns], (F.col("normalizedtext") != "").alias(f"full_{x}"), F.size("tokens").alias(f"n_{x}"))
+    heavy = lambda x: snaps.select(F.col("entry").alias(x), F.col("tokens").alias(f"tokens_{x}"))
+    flagged = pairs.join(light("a"), "a").join(light("b"), "b").withColumns({
         "exact": F.col("full_a") & F.col("full_b") & (F.col("texthash_a") == F.col("texthash_b")),
         "same_answer": S.same_answer(F.col("answerhash_a"), F.col("answerhash_b")),
         "same_type": F.col("qtype_a") == F.col("qtype_b"),
-        "jaccard": S.jaccard(F.col("tokens_a"), F.col("tokens_b")),
     })
-    total = flagged.withColumns({"score": S.score(F.col("exact"), F.col("jaccard"), F.col("same_answer"), F.col("same_type")), "threshold": S.threshold(F.col("same_answer"), F.col("same_type"))})
-    return total.drop("tokens_a", "tokens_b", "qtype_a", "qtype_b", "full_a", "full_b", "answerhash_a", "answerhash_b", "texthash_a", "texthash_b")
+    flagged = flagged.withColumn("threshold", S.threshold(F.col("same_answer"), F.col("same_type")))
+    score = lambda j: S.score(F.col("exact"), j, F.col("same_answer"), F.col("same_type"))
+    if passing:
+        most = F.least("n_a", "n_b").cast("double") / F.greatest(F.col("n_a"), F.col("n_b"), F.lit(1)).cast("double")
+        flagged = flagged.where(score(most) >= F.col("threshold"))
+    both = flagged.join(heavy("a"), "a").join(heavy("b"), "b").withColumn("jaccard", S.jaccard(F.col("tokens_a"), F.col("tokens_b")))
+    total = both.withColumn("score", score(F.col("jaccard")))
+    total = total.where("score >= threshold") if passing else total
+    return total.select(*pairs.columns, "sourcehash_a", "sourcehash_b", "exact", "same_answer", "same_type", "jaccard", "score", "threshold")
 
 
 def candidates(snaps: DataFrame, config: Config = Config()) -> DataFrame:
     """category, a, b, position, score and heuristics of each pair that passes its threshold."""
-    return scored(positions(snaps, config.bucket_limit), snaps).where("score >= threshold")
+    return scored(positions(snaps, config.bucket_limit), snaps, passing=True)

@@ -2,12 +2,15 @@
 
 Sequentially, pairs are taken in the order of `position`; a pair is skipped if
 either item has `cap` accepted pairs, and a new pair if the category's budget of
-new pairs is spent. Here each round decides every pair that must be accepted
-(it fits even if all earlier undecided pairs at its items are) or rejected (cap
-accepted pairs stand before it). The earliest undecided pair is always
-decidable, so rounds end, and each decision equals the sequential one. An
-item's pairs are bounded by its bucket sizes, so no window partition grows with
-the data.
+new pairs is spent. An item with fewer than `cap` pairs never stops one, so only
+crowded items are looked at, and pairs without one are accepted at once. For the
+others each round decides every pair that must be accepted (it fits even if all
+earlier undecided pairs at its crowded items are) or rejected (cap accepted pairs
+stand before it). The earliest undecided pair of a category is always decidable,
+and so is, at every crowded item, all that depends on decided pairs only: there
+are at most as many rounds as the longest chain of pairs that wait for one
+another, and each decision equals the sequential one. An item's pairs are
+bounded by its bucket sizes, so no window partition grows with the data.
 """
 
 from __future__ import annotations
@@ -15,29 +18,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.sources.staging import stage
+from kinfold.sources.staging import release, stage
 
 NEW, REUSED, STILL = "new", "reused", "still"
 
 
+def _crowded(base: DataFrame, cap: int) -> DataFrame:
+    """`base` with items: those of its items that `cap` pairs or more want a slot of."""
+    wants = base.where(F.col("kind") != STILL).select("category", F.explode(F.array("a", "b")).alias("item"))
+    crowded = stage(wants.groupBy("category", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cap).select("category", "item"), "crowded")
+    side = lambda x: crowded.select("category", F.col("item").alias(x), F.col("item").alias(f"crowded_{x}"))
+    both = base.join(side("a"), ["category", "a"], "left").join(side("b"), ["category", "b"], "left")
+    return both.withColumn("items", F.array_compact(F.array("crowded_a", "crowded_b"))).drop("crowded_a", "crowded_b")
+
+
 def _before(rows: DataFrame) -> DataFrame:
-    """category, a, b, position, kind, status; acc: most accepted pairs before it at either item; fit: that plus its rank among undecided ones."""
-    ends = rows.select("*", F.explode(F.array("a", "b")).alias("item"))
+    """`rows` with acc: most accepted pairs before it at a crowded item; fit: that plus its rank among undecided ones."""
+    ends = rows.select("*", F.explode("items").alias("item"))
     upto = Window.partitionBy("category", "item").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     accepted, undecided = (F.col("status") == "accepted").cast("int"), (F.col("status") == "undecided").cast("int")
     counted = ends.withColumns({"acc": F.sum(accepted).over(upto) - accepted, "r": F.sum(undecided).over(upto)})
-    return counted.groupBy("category", "a", "b").agg(F.first("position").alias("position"), F.first("kind").alias("kind"), F.first("status").alias("status"), F.max("acc").alias("acc"), F.max(F.col("acc") + F.col("r")).alias("fit"))
+    first = lambda c: F.first(c).alias(c)
+    return counted.groupBy("category", "a", "b").agg(first("position"), first("kind"), first("items"), first("status"), F.max("acc").alias("acc"), F.max(F.col("acc") + F.col("r")).alias("fit"))
 
 
 def _rounds(rows: DataFrame, cap: int) -> DataFrame:
-    """`rows` with every undecided status made accepted or rejected."""
-    while True:
+    """`rows` (all with crowded items) with every undecided status made accepted or rejected."""
+    while not rows.where("status = 'undecided'").isEmpty():
         seen = _before(rows.where("status <> 'rejected'"))
         now = F.when(F.col("status") != "undecided", F.col("status")).when(F.col("acc") >= cap, "rejected").when(F.col("fit") <= cap, "accepted").otherwise("undecided")
-        decided = seen.select("category", "a", "b", "position", "kind", now.alias("status"))
-        rows = stage(decided.unionByName(rows.where("status = 'rejected'")), "greedy")
-        if rows.where("status = 'undecided'").isEmpty():
-            return rows
+        decided = seen.select("category", "a", "b", "position", "kind", "items", now.alias("status"))
+        before, rows = rows, stage(decided.unionByName(rows.where("status = 'rejected'")), "greedy")
+        release(before)
+    return rows
 
 
 def select_pairs(pairs: DataFrame, cap: int, budget: int) -> DataFrame:
@@ -48,24 +61,28 @@ def select_pairs(pairs: DataFrame, cap: int, budget: int) -> DataFrame:
     capped where an item's cap was reached before, budget for new pairs that
     came too late.
     """
-    base = pairs.select("category", "a", "b", "position", "kind")
-    taking = stage(base.where(F.col("kind") != STILL).withColumn("status", F.lit("undecided")), "greedy")
-    free = _rounds(taking, cap)
-    accepted = free.where("status = 'accepted'")
+    columns = ["category", "a", "b", "position", "kind"]
+    base = stage(_crowded(pairs.select(*columns), cap).select(*columns, "items"), "greedy")
+    crowded = F.size("items") > 0
+    taking = base.where(F.col("kind") != STILL)
+    free = taking.where(~crowded).withColumn("status", F.lit("accepted"))
+    tight = _rounds(stage(taking.where(crowded).withColumn("status", F.lit("undecided")), "greedy"), cap)
+    marked = free.unionByName(tight)
     order = Window.partitionBy("category").orderBy("position")
     # Position of the budget's last pair; each input partition hands on `budget` rows at most.
-    last = accepted.where(F.col("kind") == NEW).withColumn("n", F.row_number().over(order)).where(F.col("n") <= budget).groupBy("category").agg(F.max("n").alias("n"), F.max("position").alias("last")).where(F.col("n") == budget).select("category", "last")
+    last = marked.where((F.col("status") == "accepted") & (F.col("kind") == NEW)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= budget).groupBy("category").agg(F.max("n").alias("n"), F.max("position").alias("last")).where(F.col("n") == budget).select("category", "last")
     last = stage(last, "budget")
     late = F.col("last").isNotNull() & (F.col("position") > F.col("last"))
-    marked = free.join(last, "category", "left")
-    early = marked.where(~late).drop("last")
+    marked = marked.join(last, "category", "left")
     # Behind the last new pair only reused ones compete, after what was accepted up to it.
-    again = marked.where(late & (F.col("kind") == REUSED)).drop("last").withColumn("status", F.lit("undecided"))
-    settled = early.unionByName(again)
+    again = F.when(late & crowded, "undecided").otherwise(F.col("status"))
+    settled = marked.where(~late | (F.col("kind") == REUSED)).withColumn("status", again).drop("last")
     if not last.isEmpty():
-        settled = _rounds(stage(settled, "greedy"), cap)
+        settled = settled.where(~crowded).unionByName(_rounds(stage(settled.where(crowded), "greedy"), cap))
     others = base.join(settled.select("category", "a", "b"), ["category", "a", "b"], "left_anti").withColumn("status", F.lit("other"))
-    seen = _before(settled.unionByName(others))
+    every = settled.unionByName(others)
+    seen = _before(every.where(crowded)).select("category", "a", "b", "kind", "status", "acc")
+    seen = seen.unionByName(every.where(~crowded).select("category", "a", "b", "kind", "status", F.lit(0).cast("long").alias("acc")))
     result = (
         F.when(F.col("status") == "accepted", F.when(F.col("kind") == NEW, "active").otherwise("reused"))
         .when((F.col("status") == "rejected") | (F.col("acc") >= cap), "capped")

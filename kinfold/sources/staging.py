@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Inputs of fewer bytes are spread over all cores; larger ones are read as their files are split, without a shuffle.
+SPREAD_BYTES = 64 << 20
+_UNITS = {"B": 0, "KiB": 10, "MiB": 20, "GiB": 30, "TiB": 40, "PiB": 50, "EiB": 60}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local folder only in local mode, where nothing else is set."""
@@ -21,4 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/kinfold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more; other tables stay."""
+    path = getattr(df, "_staged_path", None)
+    if path:
+        remove(df.sparkSession, path)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of `df`: for files, what they hold."""
+    plan = df.sparkSession.sql("EXPLAIN COST SELECT * FROM {df}", df=df).first()[0]
+    found = re.search(r"sizeInBytes=([0-9.]+(?:E[+-]?[0-9]+)?) ([KMGTPE]?i?B)", plan)
+    return int(float(found[1]) * (1 << _UNITS.get(found[2], 0))) if found else 1 << 60
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table (SPREAD_BYTES) over all cores, since its rows may be much work each; a larger one as it is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if planned_bytes(df) < SPREAD_BYTES else df

@@ -9,13 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ANSWERS = "array<struct<id:bigint,answer:string,fraction:double>>"
-
+from kinfold.sources.staging import remove, spread  # noqa: F401
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores where its files make fewer partitions than there are cores; a large input stays as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+ANSWERS = "array<struct<id:bigint,answer:string,fraction:double>>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +59,13 @@ def join_question_tables(entries: DataFrame, versions: DataFrame, questions: Dat
 
 
 class Store:
-    """State tables as directories of Parquet versions; a new version is written whole, then named current. One writer."""
+    """State tables as directories of Parquet versions. One writer.
+
+    A new version is written whole and is current once it is complete, so a lost
+    driver leaves the old one; the KEPT newest stay, for readers under way.
+    """
+
+    KEPT = 3
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -72,13 +74,17 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def version(self, name: str) -> int:
-        """The newest complete version, 0 if none."""
+    def versions(self, name: str) -> list[int]:
+        """The complete versions, oldest first."""
         fs, path = self._fs(f"{self.root}/{name}")
         if not fs.exists(path):
-            return 0
+            return []
         done = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max((int(x[1:]) for x in done if x[:1] == "v" and x[1:].isdigit()), default=0)
+        return sorted(int(x[1:]) for x in done if x[:1] == "v" and x[1:].isdigit())
+
+    def version(self, name: str) -> int:
+        """The newest complete version, 0 if none."""
+        return max(self.versions(name), default=0)
 
     def read(self, name: str, schema: str) -> DataFrame:
         n = self.version(name)
@@ -86,5 +92,7 @@ class Store:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}/v{self.version(name) + 1}"
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
+        for old in self.versions(name)[: -self.KEPT]:
+            remove(self.spark, f"{self.root}/{name}/v{old}")
         return self.spark.read.schema(df.schema).parquet(path)

@@ -25,7 +25,9 @@ def states(done):
     return {(r.a, r.b): r.state for r in done.pairs.collect()}
 
 
-PLANET = [(1, "c", "Which planet is called the red planet of the solar system?", "Mars"), (2, "c", "What planet of the solar system is called the red planet?", "Mars"), (3, "c", "Explain dependency injection in software design", "inversion")]
+#: Two that ask for one river in other words, and one on something else.
+RIVERS = [(1, "c", "Name the longest river that flows through the Iberian lowlands into the Atlantic", "Tagus"), (2, "c", "Through the Iberian lowlands flows which longest river into the Atlantic? Name it", "Tagus"), (3, "c", "Describe how yeast makes dough rise", "gas")]
+COPIES = "How many legs does a garden spider walk on?"
 
 
 def test_config_clamps():
@@ -34,27 +36,27 @@ def test_config_clamps():
 
 
 def test_exact_cluster_is_a_chain_only_when_oversized(spark, tmp_path):
-    copies = [(i, "c", "What is the capital of France?", None) for i in range(12)]
-    done = scan(spark, str(tmp_path), copies, 1, max_bucket=10)
-    assert sorted(states(done)) == [(i, i + 1) for i in range(11)]
-    assert len(states(scan(spark, f"{tmp_path}/b", copies[:4], 1))) == 6
+    copies = [(10 * i, "c", COPIES, None) for i in range(17)]
+    done = scan(spark, str(tmp_path), copies, 1, max_bucket=14)
+    assert sorted(states(done)) == [(10 * i, 10 * i + 10) for i in range(16)]
+    assert len(states(scan(spark, f"{tmp_path}/b", copies[:5], 1))) == 10
 
 
 def test_decisions_reuse_invalidation_and_retry(spark, tmp_path):
     root = str(tmp_path)
-    done = scan(spark, root, PLANET, 1, verdicts.local_comparator)
+    done = scan(spark, root, RIVERS, 1, verdicts.local_comparator)
     assert states(done) == {(1, 2): "analysed"}
-    again = scan(spark, root, PLANET, 2, verdicts.local_comparator)
+    again = scan(spark, root, RIVERS, 2, verdicts.local_comparator)
     assert states(again) == {(1, 2): "analysed"} and again.stats.first().reused == 1
     store = Store(spark, root)
     said = lambda word: store.write("pair", pairs.decide(store.read("pair", pairs.SCHEMA), spark.createDataFrame([("c", 1, 2, word)], "category string, a long, b long, decision string"), 5))
     said("notduplicate")
-    kept = scan(spark, root, PLANET, 3)
+    kept = scan(spark, root, RIVERS, 3)
     assert states(kept) == {(1, 2): "notduplicate"} and kept.pairs.first().lastscanid == 3 and kept.stats.first().suppressed == 1
-    edited = [(1, "c", PLANET[0][2] + " Name it.", "Mars"), *PLANET[1:]]
+    edited = [(1, "c", RIVERS[0][2] + " Name it.", "Mars"), *RIVERS[1:]]
     assert states(scan(spark, root, edited, 4)) == {(1, 2): "candidate"}
     said("ignored")
-    ignored = scan(spark, root, PLANET, 5)
+    ignored = scan(spark, root, RIVERS, 5)
     assert states(ignored) == {(1, 2): "ignored"} and ignored.pairs.first().lastscanid == 4
     with pytest.raises(ValueError):
         said("maybe")
@@ -63,14 +65,14 @@ def test_decisions_reuse_invalidation_and_retry(spark, tmp_path):
         raise RuntimeError("no service")
 
     root = f"{tmp_path}/retry"
-    failed = scan(spark, root, PLANET, 1, broken)
+    failed = scan(spark, root, RIVERS, 1, broken)
     assert states(failed) == {(1, 2): "aierror"} and failed.pairs.first().aierror == "no service" and failed.calls.first()[1:] == (1, 1)
-    assert states(scan(spark, root, PLANET, 2, verdicts.local_comparator)) == {(1, 2): "analysed"}
-    assert states(scan(spark, root, PLANET[1:], 3)) == {}  # a stale entry takes its pairs along
+    assert states(scan(spark, root, RIVERS, 2, verdicts.local_comparator)) == {(1, 2): "analysed"}
+    assert states(scan(spark, root, RIVERS[1:], 3)) == {}  # a stale entry takes its pairs along
 
 
 def test_same_answer_lowers_the_threshold_and_empty_text_needs_answers(spark, tmp_path):
-    rows = [(1, "c", "alpha beta gamma", "Mars"), (2, "c", "delta epsilon", "mars "), (3, "c", "", "mars"), (4, "c", "", None), (5, "d", "alpha beta gamma", "Mars")]
+    rows = [(1, "c", "alpha beta gamma", "Oslo"), (2, "c", "delta epsilon", "oslo "), (3, "c", "", "oslo"), (4, "c", "", None), (5, "d", "alpha beta gamma", "Oslo")]
     assert set(states(scan(spark, str(tmp_path), rows, 1))) == {(1, 2), (1, 3), (2, 3)}
 
 
@@ -128,11 +130,11 @@ def test_verdicts(raw, fine):
 
 
 def test_batches_and_stale_pairs_at_compare_time(spark, tmp_path):
-    done = scan(spark, str(tmp_path), [(i, "c", "What is the capital of France?", None) for i in range(12)], 1, max_bucket=10)
-    numbered = pairs.batches(done.pairs, 1, 4)
-    assert sorted(r.batch for r in numbered.collect()) == [0] * 4 + [1] * 4 + [2] * 3
-    out = verdicts.compare(numbered, done.snapshots.where("entry <> 3"))
-    assert verdicts.verdict_stats(out).first()[1:] == (9, 2)
+    done = scan(spark, str(tmp_path), [(i, "c", COPIES, None) for i in range(15)], 1, max_bucket=13)
+    numbered = pairs.batches(done.pairs, 1, 6)
+    assert sorted(r.batch for r in numbered.collect()) == [0] * 6 + [1] * 6 + [2] * 2
+    out = verdicts.compare(numbered, done.snapshots.where("entry <> 8"))
+    assert verdicts.verdict_stats(out).first()[1:] == (12, 2)
 
 
 def test_report_order_paging_and_errors(spark):
@@ -151,7 +153,7 @@ def test_change_stream_is_idempotent(spark, tmp_path):
     from kinfold.streaming.invalidation import affected, drop_entries, invalidate_stream
 
     root = str(tmp_path)
-    scan(spark, root, PLANET, 1)
+    scan(spark, root, RIVERS, 1)
     store = Store(spark, root)
     spark.createDataFrame([(1,)], "entry long").write.parquet(f"{root}/events")
     stream = spark.readStream.schema("entry long").parquet(f"{root}/events")
@@ -162,3 +164,49 @@ def test_change_stream_is_idempotent(spark, tmp_path):
     link = "questionid long, entry long"
     found = affected(spark.createDataFrame([(10,), (11,), (12,)], "questionid long"), spark.createDataFrame([(10, 1)], link), spark.createDataFrame([(11, 2)], link))
     assert sorted(r.entry for r in found.collect()) == [1, 2]
+
+
+def test_scan_life_cycle(spark, tmp_path):
+    root = str(tmp_path)
+    rows = items(spark, *RIVERS, (9, "d", "Describe how yeast makes dough rise", "gas"))
+    first = engine.queue_scan(spark, root, "c", 5)
+    assert engine.queue_scan(spark, root, "c", 6) == first  # none is queued beside one in flight
+    other = engine.queue_scan(spark, root, "d", 6)
+    assert other != first
+    table = lambda: {r.id: r for r in Store(spark, root).read("scan", engine.SCAN).collect()}
+    assert table()[first].status == "queued"
+    done = engine.run_queued(spark, root, first, rows, 7)
+    assert states(done) == {(1, 2): "analysed"}
+    r = table()[first]
+    assert (r.status, r.phase, r.totalquestions, r.processedquestions, r.totalcandidates, r.processedcandidates, r.aicalls, r.aierrors) == ("completed", "done", 3, 3, 1, 1, 1, 0)
+    assert (r.timecreated, r.timestarted, r.timefinished) == (5, 7, 7) and table()[other].status == "queued"
+    assert engine.run_queued(spark, root, first, rows, 8) is None  # it has ended
+
+    def broken(a, b):
+        raise RuntimeError("no service")
+
+    again = engine.queue_scan(spark, root, "c", 9)
+    assert again not in (first, other)
+    store = Store(spark, root)
+    store.write("pair", store.read("pair", pairs.SCHEMA).limit(0))
+    engine.run_queued(spark, root, again, rows, 9, comparator=broken)
+    assert (table()[again].status, table()[again].aierrors) == ("completedwitherrors", 1)
+    bad = engine.queue_scan(spark, root, "c", 10)
+    with pytest.raises(Exception):
+        engine.run_queued(spark, root, bad, rows.drop("questiontext"), 10)
+    r = table()[bad]
+    assert (r.status, r.phase, r.timefinished) == ("failed", "failed", 10) and r.message
+    assert len(Store(spark, root).versions("scan")) <= Store.KEPT
+
+
+def test_small_tables_are_spread_and_large_ones_left(spark, monkeypatch):
+    from kinfold.sources import staging
+
+    df = staging.stage(spark.range(1000), "small")
+    assert 0 < staging.planned_bytes(df) < 100_000
+    assert "RoundRobin" in staging.spread(df)._jdf.queryExecution().toString()
+    monkeypatch.setattr(staging, "SPREAD_BYTES", 10)
+    assert staging.spread(df) is df
+    staging.release(df)
+    with pytest.raises(Exception):
+        df.count()
