@@ -6,12 +6,21 @@ rotated by two. A text's vector bundles (sums) the vectors of all its trigrams;
 a language's prototype bundles the unit vectors of its training texts. The
 prediction is the prototype of the largest cosine.
 
+Texts that resemble no learned language are told by a floor under the cosine.
+It depends on the number of trigrams, since short texts are noisier, and is
+calibrated on the training texts and on pieces of them: FLOOR_SHARE of the
+FLOOR_QUANTILE-quantile of their cosines with the rest of their own language,
+and at least LEAST_FLOOR.
+
 Symbols: runs of anything but letters are one blank; a-z have a symbol each,
 other lower-cased letters share the remaining symbols by code point.
 
 Edge cases: a null text, or one without any letter, is `und` with score 0;
-ties between languages go to the smaller name; a null doc_id is learned from
-(it is not held out); repeated rows repeat; without training rows all is `und`.
+ties between languages go to the smaller name; a null doc_id is not held out, so
+its row is learned from if it has a lang; a lang `und` is never learned; repeated
+rows repeat (and may all be in the sample); texts are read whole, however long;
+without training rows all is `und`. Other columns than doc_id, text and lang are
+not read, and passed on by `accept`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +34,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import textvec as tv
-from kinfold.llm.common import arrow_map, held_out
+from kinfold.llm.common import arrow_map, held_out, materialize
 
-DIMENSIONS = 512
+DIMENSIONS = 1024
 SYMBOLS = 64
 UND = "und"
-#: Training texts taken of each language at most: those of the smallest hash of doc_id in each of SALTS parts.
+#: Training texts taken of each language at most: those of the smallest hashes of doc_id and text. Every language is learned.
 TRAIN_PER_LANG = 800
-SALTS = 16
-#: Languages that a model may hold; the most frequent ones.
-MAX_LANGS = 256
+#: The floor of `accept`, by the power of two of the number of trigrams.
+FLOOR_QUANTILE, FLOOR_SHARE, LEAST_FLOOR = 0.005, 0.75, 0.05
+SIZES = 24
+#: Bytes of the pieces of training texts, for the floors of short texts.
+PIECES = (24, 48, 96, 192, 400, 800, 1600)
+#: Rows that a size needs for a floor of its own; else it has that of the next smaller size.
+LEAST_ROWS = 50
 
 
 @cache
@@ -61,10 +74,10 @@ def decode(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vector of every text (float32; zero without letters), and whether it has a letter."""
+def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vector of every text (float32; zero without letters), whether it has a letter, and its number of trigrams."""
     n = len(offsets) - 1
-    out, has = np.zeros((n, DIMENSIONS), np.float32), np.zeros(n, bool)
+    out, has, size = np.zeros((n, DIMENSIONS), np.float32), np.zeros(n, bool), np.zeros(n, np.int64)
     for i, j in tv.slices(offsets, 1 << 20):
         part = data[offsets[i] : offsets[j]]
         # Count the code points before each offset: those bytes that are not continuations.
@@ -88,6 +101,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         code = grown[:-2] << 12 | grown[1:-1] << 6 | grown[2:]
         fine = (who[2:] == who[:-2]) & (grown[1:-1] > 0)
         code, who = code[fine], who[2:][fine]
+        size[i:j] = np.bincount(who, minlength=j - i)
         if not len(code):
             continue
         found, index = np.unique(code, return_inverse=True)
@@ -101,39 +115,54 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
             out[i + a : i + b] = counts.astype(np.float32) @ table
     norm = np.sqrt((out.astype(np.float64) ** 2).sum(1))
     out /= np.where(norm > 0, norm, 1)[:, None].astype(np.float32)
-    return out, has
+    return out, has, size
+
+
+def sizes(n: np.ndarray) -> np.ndarray:
+    """The power of two of a number of trigrams, from 0 to SIZES - 1."""
+    return np.minimum(np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1, SIZES - 1)
 
 
 @dataclass
 class Profiles:
     names: list[str]
     prototypes: np.ndarray
+    floors: np.ndarray
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Predicted name and cosine (clipped to 0..1) of every text."""
-        vectors, has = encode(data, offsets)
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predicted name, cosine (clipped to 0..1), and whether the cosine reaches the floor, of every text."""
+        vectors, has, n = encode(data, offsets)
         if not self.names:
-            return np.full(len(has), UND, object), np.zeros(len(has))
+            return np.full(len(has), UND, object), np.zeros(len(has)), np.zeros(len(has), bool)
         cos = vectors @ self.prototypes.T
         best = cos.argmax(1)
         name = np.array(self.names, object)[best]
         name[~has] = UND
-        return name, np.where(has, np.clip(cos[np.arange(len(best)), best].astype(np.float64), 0, 1), 0.0)
+        score = np.where(has, np.clip(cos[np.arange(len(best)), best].astype(np.float64), 0, 1), 0.0)
+        return name, score, has & (score >= self.floors[sizes(n)])
 
 
-def train(documents: DataFrame, learn=None, per_lang: int = TRAIN_PER_LANG) -> Profiles:
-    """Prototypes from at most `per_lang` texts of each of at most MAX_LANGS languages."""
-    rows = documents.select("doc_id", "lang").where(F.col("lang").isNotNull() & (F.col("lang") != UND))
+def training_sample(documents: DataFrame, learn=None, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
+    """lang, text of at most `per_lang` rows of each language."""
+    rows = documents.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull())
     if learn is not None:
         rows = rows.where(learn)
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    # Salted, so that a frequent language is ranked in SALTS places; a bounded row_number is cut in each input partition before the shuffle.
-    order = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(1, per_lang // SALTS)).join(F.broadcast(top), "lang").select("doc_id").distinct()
-    sample = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi")
+    order = F.xxhash64("doc_id", "text").alias("_order")
+    rows = rows.select("doc_id", "lang", "text", order)
+    # Rows under a threshold that follows from the language's count: about 1.5 * per_lang of them, so the ranking sees few rows, however many there are.
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.least(F.lit(1.0), 1.5 * per_lang / F.col("_n"))
+    few = rows.join(counts, "lang").where((F.col("_order").cast("double") + 2.0**63) / 2.0**64 < share)
+    first = Window.partitionBy("lang").orderBy("_order", "doc_id", "text")
+    return few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_lang).select("lang", "text")
+
+
+def train(documents: DataFrame, learn=None, per_lang: int = TRAIN_PER_LANG, floors: bool = False) -> Profiles:
+    """Prototypes from at most `per_lang` texts of each language; with `floors`, those of `accept`, too."""
+    sample = materialize(training_sample(documents, learn, per_lang), "languages")
 
     def bundle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors, _ = encode(*tv.raw_bytes(batch.column("text")))
+        vectors, *_ = encode(*tv.raw_bytes(batch.column("text")))
         langs = np.array(batch.column("lang").to_pylist(), object)
         names = sorted(set(langs))
         sums = [vectors[langs == k].astype(np.float64).sum(0) for k in names]
@@ -146,7 +175,35 @@ def train(documents: DataFrame, learn=None, per_lang: int = TRAIN_PER_LANG) -> P
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.array(r["total"])
     names = sorted(k for k, v in sums.items() if np.any(v))
     prototypes = np.array([sums[k] / np.linalg.norm(sums[k]) for k in names], np.float32).reshape(len(names), DIMENSIONS)
-    return Profiles(names, prototypes)
+    return Profiles(names, prototypes, _floors(sample, {k: sums[k] for k in names}) if floors else np.full(SIZES, LEAST_FLOOR))
+
+
+def _floors(sample: DataFrame, sums: dict[str, np.ndarray]) -> np.ndarray:
+    """The floor of each size, from the training texts and their pieces."""
+    shared = sample.sparkSession.sparkContext.broadcast(sums)
+
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sums = shared.value
+        texts = [t.encode() for t in batch.column("text").to_pylist()]
+        langs = batch.column("lang").to_pylist()
+        join = lambda parts: encode(np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(p) for p in parts])))
+        whole = join(texts)[0].astype(np.float64)
+        rest = np.array([sums.get(k, np.zeros(DIMENSIONS)) for k in langs]).reshape(len(langs), DIMENSIONS) - whole
+        norm = np.linalg.norm(rest, axis=1)
+        size, cos = [], []
+        for length in (*PIECES, max(map(len, texts), default=0)):
+            vectors, has, n = join([t[:length].decode("utf-8", "ignore").encode() for t in texts])
+            fine = has & (norm > 1e-6)
+            size.append(sizes(n)[fine])
+            cos.append(((vectors * rest).sum(1)[fine] / norm[fine]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(cos).astype(np.float64))], ["size", "cos"])
+
+    found = arrow_map(sample, own, "size int, cos double").groupBy("size").agg(F.percentile("cos", F.lit(FLOOR_QUANTILE)).alias("q"), F.count(F.lit(1)).alias("n")).collect()
+    told = {r["size"]: max(LEAST_FLOOR, FLOOR_SHARE * r["q"]) for r in found if r["n"] >= LEAST_ROWS}
+    floors, now = np.full(SIZES, LEAST_FLOOR), LEAST_FLOOR
+    for k in range(SIZES):
+        floors[k] = now = told.get(k, now)
+    return floors
 
 
 def predict(documents: DataFrame, model: Profiles) -> DataFrame:
@@ -154,7 +211,7 @@ def predict(documents: DataFrame, model: Profiles) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        name, score = shared.value.predict(*tv.raw_bytes(batch.column("text")))
+        name, score, _ = shared.value.predict(*tv.raw_bytes(batch.column("text")))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(name, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return arrow_map(documents.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
@@ -167,13 +224,12 @@ def language_ids(documents: DataFrame) -> DataFrame:
     return predict(documents, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-def accept(documents: DataFrame, model: Profiles, floor: float = 0.05) -> DataFrame:
-    """The rows, with all their columns, whose language is identified: letters, and a cosine of `floor` or more."""
+def accept(documents: DataFrame, model: Profiles) -> DataFrame:
+    """The rows, with all their columns, whose language is identified: letters, and a cosine that reaches the floor of the text's size."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        name, score = shared.value.predict(*tv.raw_bytes(batch.column(place)))
-        return batch.filter(pa.array((name != UND) & (score >= floor)))
+        return batch.filter(pa.array(shared.value.predict(*tv.raw_bytes(batch.column(place)))[2]))
 
     return arrow_map(documents, run, documents.schema)

@@ -21,7 +21,9 @@ the larger overlap, then the fewer lines. A run is numbered by its first line.
 
 Edge cases: null or empty texts have no paragraphs that are licences; repeated
 rows and paragraphs are reported each; ties in probability go to the smaller
-family name; a null doc_id is reported as null.
+family name; a null doc_id is reported as null; texts are read whole, however
+long; an empty table gives no rows. Other columns than doc_id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize
+from kinfold.llm.common import hash_sample, materialize
 
 NONE, UNKNOWN = "none", "unknown"
 SLOTS = 16384
@@ -184,7 +186,9 @@ def training_rows(documents: DataFrame) -> DataFrame:
     noise = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.substring(F.md5(F.concat_ws(":", F.col("variant"), i, "para")), 1, 5))
     some = F.when(F.col("variant") == 0, w).when(F.col("variant") % 3 == 1, F.concat(F.slice(noise, 1, 3), w, F.slice(noise, 4, 3))).otherwise(F.filter(w, keep))
     known = varied.select("class", (F.pmod(F.xxhash64("para", "variant"), F.lit(5)) > 0).cast("int").alias("fold"), some.alias("w"))
-    chosen = documents.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # A threshold by the count leaves about 1.5 * SAMPLE_DOCS texts, of which the smallest hashes are taken.
+    rows = documents.select("doc_id", "text").where("text IS NOT NULL")
+    chosen = hash_sample(rows, rows.count(), SAMPLE_DOCS, "doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS)
     lines = paragraphs(chosen).where(~F.col("para").rlike(LICENCE_WORDS))
     chosen = lines.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(SAMPLE_LINES)
     other = materialize(chosen.select(words(F.col("para")).alias("w")), "licence-sample")

@@ -17,7 +17,8 @@ sizes, so only a bucket's last batch can be short.
 
 Edge cases: a null or empty text has length 0; a text over the budget is a batch
 by itself; ties in length are ordered by doc_id; repeated rows are packed each;
-an empty table gives no rows.
+an empty table gives no rows; null and repeated doc_ids are packed like others.
+Of other columns only those that `length` names are read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import materialize
+
 BITS = 14
 PART_ROWS = 50_000
 #: So many part sizes at most are broadcast.
@@ -90,7 +93,9 @@ def pack(documents: DataFrame, length: Column | None = None, token_budget: int =
         inside = F.col("n_tokens") <= bounds[k]
         number, size, capacity = F.when(inside, F.lit(k)).otherwise(number), F.when(inside, F.lit(bounds[k])).otherwise(size), F.when(inside, F.lit(max(1, token_budget // max(1, bounds[k])))).otherwise(capacity)
     parts = max(16, -(-int(counts.sum()) // PART_ROWS))
-    placed = rows.withColumns({"bucket": number.cast("int"), "bucket_len": size.cast("long"), "capacity": capacity.cast("long"), "part": F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")})
+    placed = rows.withColumns({"bucket": number.cast("int"), "bucket_len": size.cast("long"), "capacity": capacity.cast("long"), "part": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")})
+    # Written once, so that the parts, which follow the places of rows, stay: null and repeated doc_ids are spread, too.
+    placed = materialize(placed, "placed")
     sizes = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

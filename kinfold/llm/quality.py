@@ -8,7 +8,10 @@ token count, times a constant, so that the dot product is a mean of weights.
 
 Edge cases: null, empty or token-free texts score from the intercept alone; a
 null doc_id is never learned from and is not held out; repeated rows give
-repeated results; without a labelled row the score is 0.5 everywhere.
+repeated results; of a labelled doc_id that several rows share, the text of the
+smallest hash is learned, with each of its labels; texts are read whole, however
+long; without a labelled row the score is 0.5 everywhere. Other columns than
+doc_id and text are not read, and passed on by `accept`, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import textvec as tv
-from kinfold.llm.common import arrow_map, held_out
+from kinfold.llm.common import arrow_map, hash_sample, held_out
 
 BITS = 18
 SCALE = 12.0
@@ -127,9 +130,12 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", learn
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     if learn is not None:
         chosen = chosen.where(learn)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows)
+    chosen = chosen.distinct()
+    # A threshold by the count leaves about 1.5 * train_rows ids, of which the smallest hashes are taken.
+    chosen = hash_sample(chosen, chosen.count(), train_rows, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows)
     # The chosen ids are bounded by train_rows, so they may be broadcast.
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = Window.partitionBy("doc_id", "y").orderBy(F.xxhash64("text"), "text")
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
 
     def sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = sparse_rows(*tv.raw_bytes(batch.column("text")))

@@ -25,7 +25,9 @@ after the shuffle, which is exact and spreads over all tasks.
 
 Edge cases: null text is empty; texts under `length` bytes keep all; repeated
 rows count as other places; matches never cross texts; (doc_id, text) names a
-row, so null or repeated doc_ids do no harm.
+row, so null or repeated doc_ids do no harm; long texts are searched whole, in
+overlapping pieces; an empty table gives none. Other columns than doc_id and
+text are passed on by `without_repeats` and not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ GRAM = 32
 #: Bytes of block text in one bucket, on average, and at most in one anchor key's blocks.
 BUCKET_BYTES = 1 << 20
 HOT_BLOCKS = 8000
+BROADCAST_KEYS = 200_000
 #: A text is searched for anchors in pieces of so many bytes, which overlap by one window.
 PIECE = 8 << 20
 _PLACE = tv.U64((1 << 24) - 1)
@@ -208,24 +211,29 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
     return arrow_map(texts.select("id", "th", "text"), run, "h long, c long, id long, th long, at long")
 
 
+#: Columns that name a row beside those of the input.
+ID, TH, SPANS = "_kf_id", "_kf_th", "_kf_spans"
+
+
 def _named(documents: DataFrame) -> DataFrame:
-    """`documents` with a key that is never null: id and th."""
-    text = F.coalesce("text", F.lit(""))
-    return documents.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("th", F.xxhash64(text))
+    """`documents` with a key that is never null: ID and TH."""
+    return documents.withColumns({ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), TH: F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def covered(documents: DataFrame, length: int = 200) -> DataFrame:
     """id, th, spans: for each row with repeated strings the (begin, end) byte ranges that they cover, not merged."""
     if not GRAM + 1 <= length <= GRAM + 255:
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 255}")
-    named = _named(documents).select("id", "th", "text")
+    named = _named(documents).select(F.col(ID).alias("id"), F.col(TH).alias("th"), "text")
     places = materialize(_blocks(named, length), "blocks")
     # Written out, so that the join is a stage by itself, whose hot keys AQE splits.
     twice = materialize(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "keys")
     places = materialize(places.join(twice, "h", "left_semi"), "twice")
-    block = places.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "at")).alias("own"))
+    block = materialize(places.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "at")).alias("own")), "block")
     kinds = block.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    hot = kinds.where(F.col("kinds") > HOT_BLOCKS).select("h", F.lit(True).alias("hot"))
+    hot = materialize(kinds.where(F.col("kinds") > HOT_BLOCKS).select("h", F.lit(True).alias("hot")), "hot")
+    if hot.count() <= BROADCAST_KEYS:  # 9 bytes each; beyond, an equi-join whose large side AQE can split
+        hot = F.broadcast(hot)
     # Each block's bytes are taken from the first text that has it.
     owners = block.join(hot, "h", "left").groupBy("own.id", "own.th").agg(F.collect_list(F.struct("h", "c", "n", F.col("own.at").alias("at"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("blocks"))
 
@@ -295,9 +303,9 @@ def _mask(size: int, spans) -> np.ndarray:
 
 
 def _apply(documents: DataFrame, length: int) -> DataFrame:
-    named = _named(documents)
-    spans = covered(documents, length)
-    return named.join(spans, ["id", "th"], "left")
+    """`documents` with SPANS: what is covered of each row."""
+    spans = covered(documents, length).withColumnsRenamed({"id": ID, "th": TH, "spans": SPANS})
+    return _named(documents).join(spans, [ID, TH], "left")
 
 
 def digests(documents: DataFrame, length: int = 200) -> DataFrame:
@@ -321,13 +329,13 @@ def digests(documents: DataFrame, length: int = 200) -> DataFrame:
             hashes.append(hashlib.sha256(kept).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(hashes, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return arrow_map(_apply(documents, length).select("doc_id", "text", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(_apply(documents, length).select("doc_id", "text", F.col(SPANS).alias("spans")), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, length: int = 200) -> DataFrame:
     """`documents` with the repeated bytes cut from `text` (broken characters at the cuts go, too); texts left empty are dropped, empty ones kept."""
     columns = documents.columns
-    joined = _apply(documents, length).select(*columns, "spans")
+    joined = _apply(documents, length).select(*columns, SPANS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         place = columns.index("text")
