@@ -26,9 +26,9 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; a small one (SPREAD_BYTES) over all cores, since its rows are much work each."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if planned_bytes(df) < SPREAD_BYTES else df
+    """A table; a small one (SPREAD_BYTES) of fewer files than cores over all cores, since its rows are much work each."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if planned_bytes(df) < SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

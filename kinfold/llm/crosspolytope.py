@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import vectors as V
-from kinfold.llm.common import arrow_map, materialize
+from kinfold.llm.common import arrow_map, hash_sample, materialize
 
 TABLES = 8
 #: Share of the sample's true neighbours that the fitted probes must find, and the size of the sample.
@@ -162,7 +162,7 @@ def _nearest(indexed: DataFrame, ids: np.ndarray, x: np.ndarray, dims: int, k: i
 def fit(indexed: DataFrame, asked: DataFrame, n: int, dims: int, k: int, tables: int = TABLES) -> tuple[tuple[int, ...], int]:
     """Axes of the joined hashes, and the number of probes."""
     widest = next(joins(dims, n))
-    sample = asked.orderBy(F.xxhash64(V.ID), V.ID).limit(SAMPLE).collect()
+    sample = hash_sample(asked, asked.count(), SAMPLE, V.ID).orderBy(F.xxhash64(V.ID), V.ID).limit(SAMPLE).collect()
     ids = np.array([r[V.ID] for r in sample], np.int64)
     x = V.matrix(pa.array([r[V.VECTOR] for r in sample], pa.list_(pa.float64())), dims)
     near = _nearest(indexed, ids, x, dims, k)

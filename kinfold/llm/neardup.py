@@ -45,6 +45,8 @@ SKETCH_BITS = 1024
 SLACK = 0.18
 STAR_ROUNDS = 2
 BLOCK_ROWS = 512
+#: Pairs of a cell that are looked at together.
+CELL_PAIRS = 1 << 16
 #: Stands for a null doc_id in the names of rows (doc_id, hash of the text).
 NAMELESS = -(2**63)
 
@@ -155,9 +157,13 @@ def _labels(nodes: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members (key, node, label) of buckets that hold more than one label."""
+    """Members (key, node, label) of buckets that hold more than one label.
+
+    Both sides are written out, so that the join is a stage by itself, whose hot buckets AQE splits.
+    """
+    members = materialize(members, "labelled")
     mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    return members.join(mixed, "key")
+    return members.join(materialize(mixed, "mixed"), "key")
 
 
 def _cells(members: DataFrame) -> DataFrame:
@@ -169,23 +175,27 @@ def _cells(members: DataFrame) -> DataFrame:
 
 
 def _partners(group: pa.Table, percent: int):
-    """For each row of a cell: the rows that may be linked with it, each pair once, in the first band that it shares."""
+    """Row numbers r, s of the pairs of a cell that may be linked, each pair once, in the first band that it shares; some rows at a time."""
     key = group.column("key")[0].as_py()
     label, node, own, n = (group.column(c).to_numpy() for c in ("label", "node", "own", "n_shingles"))
-    wide = lambda c: np.stack([np.asarray(x.values, np.int64) for x in group.column(c)])
+    wide = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
     bands, sketch = wide("bands"), wide("sketch").view(np.uint64)
     band = int(np.flatnonzero((bands == key).all(0))[0])
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     floor = math.floor(percent * 10) / 1000 - SLACK
-    for r in range(len(node)):
-        fine = (label != label[r]) & (np.minimum(n, n[r]) * 100 >= np.maximum(n, n[r]) * percent)
-        fine &= (node > node[r]) if i == j else (own != own[r]) & (own[r] == i)
-        near = np.flatnonzero(fine)
-        rough = np.bitwise_count(sketch[near] ^ sketch[r]).sum(1)
-        near = near[1 + np.log(np.maximum(1 - 2.0 * rough / SKETCH_BITS, 1e-9)) * (SKETCH_BITS / 4 / MINHASHES) >= floor]
-        near = near[~(bands[near, :band] == bands[r, :band]).any(1)]
-        if len(near):
-            yield r, near
+    step = max(1, CELL_PAIRS // len(node))
+    for at in range(0, len(node), step):
+        r = slice(at, at + step)
+        fine = (label[r, None] != label) & (np.minimum(n[r, None], n) * 100 >= np.maximum(n[r, None], n) * percent)
+        fine &= (node[r, None] < node) if i == j else (own[r, None] == i) & (own != i)
+        x, y = np.nonzero(fine)
+        x += at
+        rough = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1)
+        near = 1 + np.log(np.maximum(1 - 2.0 * rough / SKETCH_BITS, 1e-9)) * (SKETCH_BITS / 4 / MINHASHES) >= floor
+        x, y = x[near], y[near]
+        first = ~(bands[x, :band] == bands[y, :band]).any(1)
+        if first.any():
+            yield x[first], y[first]
 
 
 def _rest(members: DataFrame, nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -196,9 +206,9 @@ def _rest(members: DataFrame, nodes: DataFrame, reps: DataFrame, percent: int) -
 
     def hopeful(group: pa.Table) -> pa.Table:
         hit = np.zeros(len(group), bool)
-        for r, near in _partners(group, percent):
+        for r, s in _partners(group, percent):
             hit[r] = True
-            hit[near] = True
+            hit[s] = True
         return group.select(["key", "i", "j", "own", "node", "label"]).filter(pa.array(hit))
 
     def compare(group: pa.Table) -> pa.Table:
@@ -213,8 +223,8 @@ def _rest(members: DataFrame, nodes: DataFrame, reps: DataFrame, percent: int) -
             return x
 
         out = []
-        for r, near in _partners(group, percent):
-            for s in near:
+        for rows in _partners(group, percent):
+            for r, s in zip(*(x.tolist() for x in rows)):
                 x, y = find(label[r]), find(label[s])
                 if x == y:
                     continue
@@ -241,7 +251,7 @@ def _placed(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
     reps = materialize(same.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n_shingles", "doc", "own", "x.bands", "x.sketch"), "classes")
     rows = reps.select(F.explode("bands").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1")
-    members = materialize(rows.join(shared.select("key", "lead"), "key"), "members")
+    members = materialize(rows.join(materialize(shared.select("key", "lead"), "shared"), "key"), "members")
     wanted = reps.join(members.select("node").distinct(), "node", "left_semi")
     names = wanted.select("own.id", "own.th").distinct()
     texts = _named(documents).withColumn("id", F.coalesce("doc_id", F.lit(NAMELESS))).join(names, ["id", "th"], "left_semi")
@@ -256,6 +266,7 @@ def _placed(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
         if left.isEmpty():
             break
         lead = left.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead"))
+        lead = materialize(lead, "leads")
         pairs = left.join(lead, "key").where("label <> lead.label").select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
         more = materialize(confirmed(pairs, nodes, percent), "links")
