@@ -13,9 +13,9 @@ from kinfold.plans import lifecycle
 from kinfold.plans.config import Config
 from kinfold.plans.lifecycle import SCAN, active_scan, latest_scans  # noqa: F401
 from kinfold.sources.staging import stage
+from kinfold.sources.state import SNAPSHOT, read_pairs, read_snapshots  # noqa: F401
 from kinfold.sources.tables import Store
 
-SNAPSHOT = "entry long, category string, qtype string, name string, sourcehash string, texthash string, answerhash string, answersummary array<struct<fraction:double,text:string>>, semantictext string, normalizedtext string, tokens array<string>, keywords array<string>, minhash array<bigint>, lastscanid long, timecreated long, timemodified long"
 @dataclass
 class Scan:
     snapshots: DataFrame
@@ -53,7 +53,7 @@ def scan(items: DataFrame, old_snapshots: DataFrame, old_pairs: DataFrame, numbe
 def run(spark: SparkSession, root: str, items: DataFrame, number: int, now: int, config: Config = Config(), comparator: verdicts.Comparator | None = verdicts.local_comparator) -> Scan:
     """A scan over the state kept under `root`; its results become the current versions."""
     store = Store(spark, root)
-    done = scan(items, store.read("snapshot", SNAPSHOT), store.read("pair", pairs.SCHEMA), number, now, config, comparator)
+    done = scan(items, read_snapshots(store), read_pairs(store), number, now, config, comparator)
     return Scan(store.write("snapshot", done.snapshots), store.write("pair", done.pairs), done.stats, done.calls)
 
 
@@ -82,7 +82,7 @@ def run_queued(spark: SparkSession, root: str, scan_id: int, items: DataFrame, n
     try:
         change(lifecycle.start, scan_id, now)
         own = items.where(F.col("category") == row["category"])
-        done = prepare(own, store.read("snapshot", SNAPSHOT), store.read("pair", pairs.SCHEMA), scan_id, now, config)
+        done = prepare(own, read_snapshots(store), read_pairs(store), scan_id, now, config)
         done = Scan(store.write("snapshot", done.snapshots), store.write("pair", done.pairs), done.stats, done.calls)
         total = done.snapshots.where(F.col("category") == row["category"]).count()
         change(lifecycle.step, scan_id, now, totalquestions=total, processedquestions=total, status="comparing", phase="semantic")

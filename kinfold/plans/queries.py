@@ -20,6 +20,7 @@ from kinfold.plans import engine, lifecycle
 from kinfold.plans.config import Config
 from kinfold.sources import tables as src
 from kinfold.sources.staging import shared_dir, stage
+from kinfold.sources.state import read_pairs
 
 #: Limits of the queries: the defaults, and tight ones that bind on small tables, too.
 DEFAULT, TIGHT = Config(), Config(max_per_item=5, max_new_pairs=25)
@@ -416,7 +417,7 @@ def q_event_invalidation(spark, d):
         events.where(F.col("entry") % 2 == k).coalesce(1).write.mode("append").parquet(f"{root}/events")
     stream = spark.readStream.schema("entry long").option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
     invalidate_stream(stream, store, f"{root}/checkpoint").awaitTermination()
-    return store.read("pair", pairs.SCHEMA).select("a", "b", "state")
+    return read_pairs(store).select("a", "b", "state")
 
 
 def _scan(spark, d, config):

@@ -52,5 +52,6 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table (SPREAD_BYTES) over all cores, since its rows may be much work each; a larger one as it is."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if planned_bytes(df) < SPREAD_BYTES else df
+    """A small table (SPREAD_BYTES) of fewer files than cores over all cores, since its rows may be much work each; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if planned_bytes(df) < SPREAD_BYTES and len(df.inputFiles()) < cores else df

@@ -96,3 +96,10 @@ class Store:
         for old in self.versions(name)[: -self.KEPT]:
             remove(self.spark, f"{self.root}/{name}/v{old}")
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        df.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def appended(self, name: str, schema: str) -> DataFrame:
+        fs, path = self._fs(f"{self.root}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if fs.exists(path) else self.spark.createDataFrame([], schema)

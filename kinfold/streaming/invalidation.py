@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kinfold.operators.pairs import SCHEMA, invalidate
-from kinfold.plans.engine import SNAPSHOT
+from kinfold.sources.state import drop_entries
 from kinfold.sources.tables import Store
 
+#: Kinds of changes that invalidate what is known of a question.
 CHANGES = ("created", "updated", "moved", "deleted")
 
 
@@ -21,16 +21,14 @@ def affected(events: DataFrame, versions: DataFrame, snapshots: DataFrame) -> Da
     return found.select(F.coalesce("now", "kept").alias("entry")).where("entry IS NOT NULL").distinct()
 
 
-def drop_entries(store: Store, entries: DataFrame) -> None:
-    """Drop the snapshots (and with them the buckets) of `entries`, and their pairs but the ignored ones. Twice is as good as once."""
-    entries = entries.select("entry").distinct()
-    if entries.isEmpty():
-        return
-    store.write("pair", invalidate(store.read("pair", SCHEMA), entries))
-    store.write("snapshot", store.read("snapshot", SNAPSHOT).join(entries, "entry", "left_anti"))
-
-
 def invalidate_stream(entries: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Drop what a stream of entries names, batch by batch, until the source has no more."""
     sink = lambda batch, _: drop_entries(store, batch)
     return entries.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def invalidate_changes(changes: DataFrame, versions: DataFrame, snapshots: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """The same for a stream of changes (kind, questionid): of kinds in CHANGES, by the entries that `affected` finds."""
+    found = lambda batch: affected(batch.where(F.col("kind").isin(*CHANGES)), versions, snapshots)
+    sink = lambda batch, _: drop_entries(store, found(batch))
+    return changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -150,7 +150,8 @@ def test_report_order_paging_and_errors(spark):
 
 
 def test_change_stream_is_idempotent(spark, tmp_path):
-    from kinfold.streaming.invalidation import affected, drop_entries, invalidate_stream
+    from kinfold.sources.state import drop_entries, read_pairs, read_snapshots
+    from kinfold.streaming.invalidation import affected, invalidate_changes, invalidate_stream
 
     root = str(tmp_path)
     scan(spark, root, RIVERS, 1)
@@ -158,9 +159,16 @@ def test_change_stream_is_idempotent(spark, tmp_path):
     spark.createDataFrame([(1,)], "entry long").write.parquet(f"{root}/events")
     stream = spark.readStream.schema("entry long").parquet(f"{root}/events")
     invalidate_stream(stream, store, f"{root}/check").awaitTermination()
-    assert store.read("pair", pairs.SCHEMA).count() == 0 and store.read("snapshot", engine.SNAPSHOT).count() == 2
+    assert read_pairs(store).count() == 0 and read_snapshots(store).count() == 2 and store.version("pair") == 1
     drop_entries(store, spark.createDataFrame([(1,)], "entry long"))
-    assert store.read("snapshot", engine.SNAPSHOT).count() == 2
+    assert read_snapshots(store).count() == 2
+    # A scan writes what it read and finds; what was dropped before it does not hold for it.
+    assert states(scan(spark, root, RIVERS, 2)) == {(1, 2): "candidate"} and read_snapshots(store).count() == 3 and read_pairs(store).count() == 1
+    spark.createDataFrame([("viewed", 12), ("deleted", 11), ("updated", 77)], "kind string, questionid long").write.parquet(f"{root}/changes")
+    stream = spark.readStream.schema("kind string, questionid long").parquet(f"{root}/changes")
+    links = [spark.createDataFrame(x, "questionid long, entry long") for x in ([(12, 3)], [(11, 2)])]
+    invalidate_changes(stream, *links, store, f"{root}/check2").awaitTermination()
+    assert sorted(r.entry for r in read_snapshots(store).collect()) == [1, 3] and read_pairs(store).count() == 0
     link = "questionid long, entry long"
     found = affected(spark.createDataFrame([(10,), (11,), (12,)], "questionid long"), spark.createDataFrame([(10, 1)], link), spark.createDataFrame([(11, 2)], link))
     assert sorted(r.entry for r in found.collect()) == [1, 2]
@@ -202,7 +210,7 @@ def test_scan_life_cycle(spark, tmp_path):
 def test_small_tables_are_spread_and_large_ones_left(spark, monkeypatch):
     from kinfold.sources import staging
 
-    df = staging.stage(spark.range(1000), "small")
+    df = staging.stage(spark.range(1000).coalesce(1), "small")
     assert 0 < staging.planned_bytes(df) < 100_000
     assert "RoundRobin" in staging.spread(df)._jdf.queryExecution().toString()
     monkeypatch.setattr(staging, "SPREAD_BYTES", 10)
