@@ -66,11 +66,26 @@ def decide(pairs: DataFrame, decisions: DataFrame, now: int) -> DataFrame:
     return joined.withColumns({"state": F.coalesce("decision", "state"), "timemodified": F.when(F.col("decision").isNotNull(), F.lit(now).cast("long")).otherwise(F.col("timemodified"))}).select(*pairs.columns)
 
 
+#: Items a with ids of the same higher bits are counted together.
+RANGE_BITS = 16
+
+
 def batches(pairs: DataFrame, scan: int, size: int) -> DataFrame:
-    """category, a, b, batch: this scan's candidates in batches of `size` within their category."""
-    order = Window.partitionBy("category").orderBy("a", "b")
-    waiting = pairs.where((F.col("state") == "candidate") & (F.col("lastscanid") == scan))
-    return waiting.select(*KEY, F.floor((F.row_number().over(order) - 1) / size).cast("long").alias("batch"))
+    """category, a, b, batch: this scan's candidates, by a and b, in batches of `size` within their category.
+
+    A pair's place is its place at its item a, after the pairs of smaller items in
+    the same range of ids, after those of smaller ranges. So no window holds a
+    category's pairs: the largest hold a range's items, or a category's ranges.
+    """
+    waiting = pairs.where((F.col("state") == "candidate") & (F.col("lastscanid") == scan)).select(*KEY)
+    items = waiting.groupBy("category", "a").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.shiftright("a", RANGE_BITS))
+    before = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = items.groupBy("category", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("category", "range", before(["category"], "range").alias("smaller"))
+    places = items.select("category", "a", "range", before(["category", "range"], "a").alias("first")).join(ranges, ["category", "range"])
+    own = F.row_number().over(Window.partitionBy("category", "a").orderBy("b")) - 1
+    ranked = waiting.withColumn("own", own).join(places, ["category", "a"])
+    return ranked.select(*KEY, F.floor((F.col("own") + F.col("first") + F.col("smaller")) / size).cast("long").alias("batch"))
 
 
 def stale(pairs: DataFrame, snaps: DataFrame) -> DataFrame:
