@@ -48,6 +48,7 @@ SIZES = 24
 PIECES = (24, 48, 96, 192, 400, 800, 1600)
 #: Rows that a size needs for a floor of its own; else it has that of the next smaller size.
 LEAST_ROWS = 50
+BROADCAST_LANGS = 50_000
 
 
 @cache
@@ -150,7 +151,9 @@ def training_sample(documents: DataFrame, learn=None, per_lang: int = TRAIN_PER_
     order = F.xxhash64("doc_id", "text").alias("_order")
     rows = rows.select("doc_id", "lang", "text", order)
     # Rows under a threshold that follows from the language's count: about 1.5 * per_lang of them, so the ranking sees few rows, however many there are.
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    if counts.count() <= BROADCAST_LANGS:  # else an equi-join, which AQE can split where a language is hot
+        counts = F.broadcast(counts)
     share = F.least(F.lit(1.0), 1.5 * per_lang / F.col("_n"))
     few = rows.join(counts, "lang").where((F.col("_order").cast("double") + 2.0**63) / 2.0**64 < share)
     first = Window.partitionBy("lang").orderBy("_order", "doc_id", "text")
