@@ -44,7 +44,7 @@ SKETCH_BITS = 1024
 #: Five standard deviations of an estimate from 160 minima at 0.8, with room for the bitmap's collisions.
 SLACK = 0.18
 STAR_ROUNDS = 2
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
 #: Pairs of a cell that are looked at together.
 CELL_PAIRS = 1 << 16
 #: Stands for a null doc_id in the names of rows (doc_id, hash of the text).
@@ -157,20 +157,28 @@ def _labels(nodes: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members (key, node, label) of buckets that hold more than one label.
+    """Members (key, node, label) of buckets that hold more than one label, with the bucket's size and its commonest label.
 
     Both sides are written out, so that the join is a stage by itself, whose hot buckets AQE splits.
     """
     members = materialize(members, "labelled")
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    return members.join(materialize(mixed, "mixed"), "key")
+    counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return members.join(materialize(mixed.select("key", "size", F.col("top.label").alias("most"), F.col("top.n").alias("n_most")), "mixed"), "key")
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """key, i, j, own, node, label: the members of each pair of blocks of a bucket."""
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    """key, i, j, own, node, label: the members of each pair of blocks of a bucket.
+
+    Members of the commonest label are linked already, so their blocks meet only
+    those of the others: one large group and some strangers make no square of cells.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    many, few = blocks(F.col("n_most")), blocks(F.col("size") - F.col("n_most"))
+    common, spread = F.col("label") == F.col("most"), F.xxhash64("node")
+    own = F.when(common, F.pmod(spread, many)).otherwise(many + F.pmod(spread, few)).cast("int")
+    others = F.sequence(F.when(common, many).otherwise(F.lit(0)), many + few - 1)
+    cells = members.withColumns({"own": own, "others": others}).withColumn("other", F.explode("others"))
     return cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
 
 
@@ -281,7 +289,8 @@ def _placed(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
             components = materialize(connected_components(edges.unionByName(more)), "components")
 
     classes = _labels(reps.select("node", "s1", "s2", "n_shingles", "doc"), components)
-    least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
+    classes = materialize(classes, "placed-classes")
+    least = materialize(classes.groupBy("label").agg(F.min("doc").alias("component_id")), "least")
     classes = classes.join(least, "label").select("s1", "s2", "n_shingles", "label", "component_id")
     out = found.select("doc_id", "th", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
     # An empty set is a component by itself.
