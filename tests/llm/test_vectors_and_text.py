@@ -175,9 +175,9 @@ def test_encoding_does_not_depend_on_the_batch():
     texts = ["Hello, wörld", "", "a", "漢字 kana", "  x y  "]
     import pyarrow as pa
 
-    whole, has = langid.encode(*textvec.raw_bytes(pa.array(texts)))
+    whole, has, _ = langid.encode(*textvec.raw_bytes(pa.array(texts)))
     for k, t in enumerate(texts):
-        alone, _ = langid.encode(*textvec.raw_bytes(pa.array([t])))
+        alone, *_ = langid.encode(*textvec.raw_bytes(pa.array([t])))
         assert np.allclose(alone[0], whole[k], atol=1e-6)
     assert has.tolist() == [True, False, True, True, True]
 
