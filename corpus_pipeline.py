@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without letters (null and empty ones, too), and those that resemble no language learned."""
-    return langid.accept(docs, langid.train(docs, learn=~held_out(5, 0), floors=True))
+    """Drops the documents without letters (null and empty ones, too), and those that resemble no language learned. Profiles and floors come from all rows that may be learned from."""
+    return langid.accept(docs, langid.train(docs, learn=~held_out(5, 0), per_lang=None, floors=True))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ not read, and passed on by `accept`, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -39,8 +40,12 @@ from kinfold.llm.common import arrow_map, held_out, materialize
 DIMENSIONS = 1024
 SYMBOLS = 64
 UND = "und"
-#: Training texts taken of each language at most: those of the smallest hashes of doc_id and text. Every language is learned.
+#: Training texts taken of each language at most, unless all are asked for: those of the smallest hashes of doc_id and text. Every language is learned.
 TRAIN_PER_LANG = 800
+#: Texts, and different trigrams, that are turned into vectors at once.
+STEP_ROWS, STEP_TRIGRAMS = 1024, 8192
+#: Whole numbers in one, for sums of vectors (exact up to 2^33 texts of a language) and for the cosines that floors are chosen among.
+UNIT, GRID = 1 << 30, 1 << 20
 #: The floor of `accept`, by the power of two of the number of trigrams.
 FLOOR_QUANTILE, FLOOR_SHARE, LEAST_FLOOR = 0.005, 0.75, 0.05
 SIZES = 24
@@ -75,11 +80,18 @@ def decode(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of about 1 MB and at most STEP_ROWS texts, so that the memory for vectors does not grow with a batch."""
+    for i, j in tv.slices(offsets, 1 << 20):
+        for a in range(i, j, STEP_ROWS):
+            yield a, min(a + STEP_ROWS, j)
+
+
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit vector of every text (float32; zero without letters), whether it has a letter, and its number of trigrams."""
     n = len(offsets) - 1
     out, has, size = np.zeros((n, DIMENSIONS), np.float32), np.zeros(n, bool), np.zeros(n, np.int64)
-    for i, j in tv.slices(offsets, 1 << 20):
+    for i, j in steps(offsets):
         part = data[offsets[i] : offsets[j]]
         # Count the code points before each offset: those bytes that are not continuations.
         lead = np.append(0, np.cumsum((part & 0xC0) != 0x80))
@@ -106,16 +118,20 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if not len(code):
             continue
         found, index = np.unique(code, return_inverse=True)
-        table = trigram_vectors(found)
-        step = max(1, (1 << 21) // len(found))
-        cut = np.searchsorted(who, np.arange(j - i + 1))
-        for a in range(0, j - i, step):
-            b = min(a + step, j - i)
-            own = slice(cut[a], cut[b])
-            counts = np.bincount((who[own] - a) * len(found) + index[own], minlength=(b - a) * len(found)).reshape(b - a, -1)
-            out[i + a : i + b] = counts.astype(np.float32) @ table
-    norm = np.sqrt((out.astype(np.float64) ** 2).sum(1))
-    out /= np.where(norm > 0, norm, 1)[:, None].astype(np.float32)
+        # Whole numbers under 2^24, so the sums are the same in any order.
+        for low in range(0, len(found), STEP_TRIGRAMS):
+            table = trigram_vectors(found[low : low + STEP_TRIGRAMS])
+            fine = slice(None) if len(found) <= STEP_TRIGRAMS else (index >= low) & (index < low + STEP_TRIGRAMS)
+            at, text, width = index[fine] - low, who[fine], len(table)
+            step = max(1, (1 << 20) // width)
+            cut = np.searchsorted(text, np.arange(j - i + 1))
+            for a in range(0, j - i, step):
+                b = min(a + step, j - i)
+                own = slice(cut[a], cut[b])
+                counts = np.bincount((text[own] - a) * width + at[own], minlength=(b - a) * width).reshape(b - a, -1)
+                out[i + a : i + b] += counts.astype(np.float32) @ table
+        norm = np.sqrt(np.einsum("ij,ij->i", out[i:j], out[i:j], dtype=np.float64))
+        out[i:j] /= np.where(norm > 0, norm, 1)[:, None].astype(np.float32)
     return out, has, size
 
 
@@ -132,22 +148,28 @@ class Profiles:
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predicted name, cosine (clipped to 0..1), and whether the cosine reaches the floor, of every text."""
-        vectors, has, n = encode(data, offsets)
-        if not self.names:
-            return np.full(len(has), UND, object), np.zeros(len(has)), np.zeros(len(has), bool)
-        cos = vectors @ self.prototypes.T
-        best = cos.argmax(1)
-        name = np.array(self.names, object)[best]
-        name[~has] = UND
-        score = np.where(has, np.clip(cos[np.arange(len(best)), best].astype(np.float64), 0, 1), 0.0)
-        return name, score, has & (score >= self.floors[sizes(n)])
+        rows = len(offsets) - 1
+        name, score, fine = np.full(rows, UND, object), np.zeros(rows), np.zeros(rows, bool)
+        names = np.array(self.names, object)
+        for i, j in steps(offsets) if self.names else ():
+            vectors, has, n = encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            cos = vectors @ self.prototypes.T
+            best = cos.argmax(1)
+            name[i:j] = np.where(has, names[best], UND)
+            score[i:j] = np.where(has, np.clip(cos[np.arange(len(best)), best].astype(np.float64), 0, 1), 0.0)
+            fine[i:j] = has & (score[i:j] >= self.floors[sizes(n)])
+        return name, score, fine
+
+
+def training_rows(documents: DataFrame, learn=None) -> DataFrame:
+    """The rows of `documents` that `learn` admits, with a text and a language."""
+    rows = documents.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull())
+    return rows if learn is None else rows.where(learn)
 
 
 def training_sample(documents: DataFrame, learn=None, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """lang, text of at most `per_lang` rows of each language."""
-    rows = documents.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull())
-    if learn is not None:
-        rows = rows.where(learn)
+    rows = training_rows(documents, learn)
     order = F.xxhash64("doc_id", "text").alias("_order")
     rows = rows.select("doc_id", "lang", "text", order)
     # Rows under a threshold that follows from the language's count: about 1.5 * per_lang of them, so the ranking sees few rows, however many there are.
@@ -160,55 +182,113 @@ def training_sample(documents: DataFrame, learn=None, per_lang: int = TRAIN_PER_
     return few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_lang).select("lang", "text")
 
 
-def train(documents: DataFrame, learn=None, per_lang: int = TRAIN_PER_LANG, floors: bool = False) -> Profiles:
-    """Prototypes from at most `per_lang` texts of each language; with `floors`, those of `accept`, too."""
-    sample = materialize(training_sample(documents, learn, per_lang), "languages")
-
-    def bundle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors, *_ = encode(*tv.raw_bytes(batch.column("text")))
-        langs = np.array(batch.column("lang").to_pylist(), object)
-        names = sorted(set(langs))
-        sums = [vectors[langs == k].astype(np.float64).sum(0) for k in names]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sums, pa.list_(pa.float64()))], ["lang", "total"])
-
-    parts = arrow_map(sample, bundle, "lang string, total array<double>")
-    # Sums meet as one vector for each language and batch of a bounded sample.
-    sums: dict[str, np.ndarray] = {}
-    for r in sorted(parts.collect(), key=lambda r: (r["lang"], r["total"])):
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.array(r["total"])
+def train(documents: DataFrame, learn=None, per_lang: int | None = TRAIN_PER_LANG, floors: bool = False) -> Profiles:
+    """Prototypes from at most `per_lang` texts of each language, or from all of them (None); with `floors`, those of `accept`, too."""
+    rows = training_rows(documents, learn).select("lang", "text") if per_lang is None else materialize(training_sample(documents, learn, per_lang), "languages")
+    sums = _sums(rows)
     names = sorted(k for k, v in sums.items() if np.any(v))
     prototypes = np.array([sums[k] / np.linalg.norm(sums[k]) for k in names], np.float32).reshape(len(names), DIMENSIONS)
-    return Profiles(names, prototypes, _floors(sample, {k: sums[k] for k in names}) if floors else np.full(SIZES, LEAST_FLOOR))
+    return Profiles(names, prototypes, _floors(rows, {k: sums[k] for k in names}) if floors else np.full(SIZES, LEAST_FLOOR))
 
 
-def _floors(sample: DataFrame, sums: dict[str, np.ndarray]) -> np.ndarray:
+def _sums(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The sum of the unit vectors of each language's texts. Summed as whole numbers, so it does not depend on the order."""
+
+    def batch_of(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["lang", "total"])
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            (data, offsets), langs = tv.raw_bytes(batch.column("text")), np.array(batch.column("lang").to_pylist(), object)
+            for i, j in steps(offsets):
+                vectors = np.rint(encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] * np.float32(UNIT)).astype(np.int64)
+                found, index = np.unique(langs[i:j].astype(str), return_inverse=True)
+                for k, lang in enumerate(found.tolist()):
+                    sums[lang] = sums.get(lang, 0) + vectors[index == k].sum(0)
+                if len(sums) > STEP_ROWS:
+                    yield batch_of(sums)
+                    sums = {}
+        if sums:
+            yield batch_of(sums)
+
+    # A vector for each task and language meets the others place by place, summed before and after the shuffle.
+    each = rows.mapInArrow(bundle, "lang string, total array<long>").select("lang", F.posexplode("total").alias("place", "total"))
+    whole = each.groupBy("lang", "place").agg(F.sum("total").alias("total")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "total"))).alias("of"))
+    return {r["lang"]: np.array(r["total"], np.float64) / UNIT for r in whole.select("lang", F.col("of.total").alias("total")).collect()}
+
+
+def _floors(rows: DataFrame, sums: dict[str, np.ndarray]) -> np.ndarray:
     """The floor of each size, from the training texts and their pieces."""
-    shared = sample.sparkSession.sparkContext.broadcast(sums)
+    shared = rows.sparkSession.sparkContext.broadcast(sums)
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums = shared.value
-        texts = [t.encode() for t in batch.column("text").to_pylist()]
-        langs = batch.column("lang").to_pylist()
-        join = lambda parts: encode(np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(p) for p in parts])))
-        whole = join(texts)[0].astype(np.float64)
-        rest = np.array([sums.get(k, np.zeros(DIMENSIONS)) for k in langs]).reshape(len(langs), DIMENSIONS) - whole
-        norm = np.linalg.norm(rest, axis=1)
-        size, cos = [], []
-        for length in (*PIECES, max(map(len, texts), default=0)):
-            vectors, has, n = join([t[:length].decode("utf-8", "ignore").encode() for t in texts])
-            fine = has & (norm > 1e-6)
-            size.append(sizes(n)[fine])
-            cos.append(((vectors * rest).sum(1)[fine] / norm[fine]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(cos).astype(np.float64))], ["size", "cos"])
-
-    found = arrow_map(sample, own, "size int, cos double").groupBy("size").agg(F.percentile("cos", F.lit(FLOOR_QUANTILE)).alias("q"), F.count(F.lit(1)).alias("n")).collect()
-    told = {r["size"]: max(LEAST_FLOOR, FLOOR_SHARE * r["q"]) for r in found if r["n"] >= LEAST_ROWS}
+        sums, out = shared.value, []
+        (data, offsets), langs = tv.raw_bytes(batch.column("text")), batch.column("lang").to_pylist()
+        for i, j in steps(offsets):
+            raw = data[offsets[i] : offsets[j]].tobytes()
+            texts = [raw[a:b] for a, b in zip(offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i])]
+            whole = join(texts)
+            rest = np.array([sums.get(k, np.zeros(DIMENSIONS)) for k in langs[i:j]]).reshape(j - i, DIMENSIONS) - whole[0]
+            norm = np.linalg.norm(rest, axis=1)
+            for length in (*PIECES, None):
+                vectors, has, n = whole if length is None else join([t[:length].decode("utf-8", "ignore").encode() for t in texts])
+                fine = has & (norm > 1e-6)
+                cos = np.einsum("ij,ij->i", vectors, rest)[fine] / norm[fine]
+                out.append(sizes(n)[fine].astype(np.int64) << 32 | np.floor((cos + 1) * GRID).astype(np.int64))
+        key, n = np.unique(np.concatenate(out) if out else np.zeros(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & (1 << 32) - 1).astype(np.int32)), pa.array(n.astype(np.int64))], ["size", "cos", "n"])
+
+    def join(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return encode(np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(p) for p in parts])))
+
+    counts = materialize(arrow_map(rows, own, "size int, cos int, n long").groupBy("size", "cos").agg(F.sum("n").alias("n")), "cosines")
+    told = {k: max(LEAST_FLOOR, FLOOR_SHARE * (q / GRID - 1)) for k, (q, n) in _quantiles(counts).items() if n >= LEAST_ROWS}
     floors, now = np.full(SIZES, LEAST_FLOOR), LEAST_FLOOR
     for k in range(SIZES):
         floors[k] = now = told.get(k, now)
     return floors
 
 
+def _quantiles(counts: DataFrame) -> dict[int, tuple[float, int]]:
+    """For each size its FLOOR_QUANTILE-quantile, between the two nearest of all its values, and their number.
+
+    First the counts of coarse cells, bounded by the grid, then the values of the two cells at most that hold the two ranks.
+    """
+    cell = F.shiftright("cos", 10).alias("cell")
+
+    def at(rows: list, key: str, rank: int) -> tuple[int, int]:
+        """The key at a rank, and the ranks before it."""
+        before = 0
+        for r in sorted(rows, key=lambda r: r[key]):
+            if rank < before + r["n"]:
+                return r[key], before
+            before += r["n"]
+        raise ValueError(rank)
+
+    coarse: dict[int, list] = {}
+    for r in counts.groupBy("size", cell).agg(F.sum("n").alias("n")).collect():
+        coarse.setdefault(r["size"], []).append(r)
+    want = {}
+    for size, rows in coarse.items():
+        total = sum(r["n"] for r in rows)
+        rank = (total - 1) * FLOOR_QUANTILE
+        low = int(rank)
+        want[size] = total, rank - low, [(*at(rows, "cell", k), k) for k in (low, min(low + 1, total - 1))]
+    cells = {(size, c) for size, (_, _, ends) in want.items() for c, _, _ in ends}
+    if not cells:
+        return {}
+    chosen = F.struct("size", cell.alias("cell")).isin([F.struct(F.lit(a).alias("size"), F.lit(b).alias("cell")) for a, b in sorted(cells)])
+    near: dict[tuple[int, int], list] = {}
+    for r in counts.where(chosen).collect():
+        near.setdefault((r["size"], r["cos"] >> 10), []).append(r)
+    out = {}
+    for size, (total, part, ends) in want.items():
+        low, high = (at(near[size, c], "cos", k - before)[0] for c, before, k in ends)
+        out[size] = low + part * (high - low), total
+    return out
+
+
 def predict(documents: DataFrame, model: Profiles) -> DataFrame:
     """doc_id, lang_pred, score for every document."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
