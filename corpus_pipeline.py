@@ -15,8 +15,8 @@ from kinfold.llm.common import held_out, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose quality score is under one half; null and empty texts have the score of the intercept. Without labels all stay."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(3, 1))
+    """Drops the documents whose quality score is under one half; null and empty texts have the score of the intercept. Without labels all stay. The model comes from all labelled rows that may be learned from."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(3, 1), train_rows=None)
     return quality.accept(docs, model, threshold=0.5)
 
 

@@ -6,6 +6,10 @@ of their shapes (case, digits, or the punctuation itself; a repeat of the token
 before has a shape of its own). A feature's value is its count divided by the
 token count, times a constant, so that the dot product is a mean of weights.
 
+Where all labelled rows are learned from, each shard of about TRAIN_ROWS rows
+(by the hash of doc_id) has a model of its own, and the weights are their mean
+(parameter mixture), so training spreads over the tasks.
+
 Edge cases: null, empty or token-free texts score from the intercept alone; a
 null doc_id is never learned from and is not held out; repeated rows give
 repeated results; of a labelled doc_id that several rows share, the text of the
@@ -29,8 +33,10 @@ from kinfold.llm.common import arrow_map, hash_sample, held_out
 
 BITS = 18
 SCALE = 12.0
-#: At most this many labelled rows, those of the smallest hash of doc_id, are learned from.
+#: At most this many labelled rows, those of the smallest hash of doc_id, are learned from; where all are asked for, about as many by one task.
 TRAIN_ROWS = 6000
+#: Whole numbers in one, for sums of weights (within 64 bits up to some 10^9 rows while weights stay under 8).
+UNIT = 1 << 30
 
 _KIND = np.full(256, 2, np.int8)
 _KIND[tv.WHITE] = 0
@@ -125,43 +131,42 @@ def sparse_rows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", learn=None, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most `train_rows` labelled rows that `learn` (a Column over doc_id) admits."""
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", learn=None, train_rows: int | None = TRAIN_ROWS) -> Model:
+    """Fit on at most `train_rows` labelled rows that `learn` (a Column over doc_id) admits, or on all of them (None)."""
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     if learn is not None:
         chosen = chosen.where(learn)
-    chosen = chosen.distinct()
-    # A threshold by the count leaves about 1.5 * train_rows ids, of which the smallest hashes are taken.
-    chosen = hash_sample(chosen, chosen.count(), train_rows, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows)
-    # The chosen ids are bounded by train_rows, so they may be broadcast.
+    chosen, shards = chosen.distinct(), 1
+    if train_rows is None:
+        shards = max(1, -(-chosen.count() // TRAIN_ROWS))
+    else:
+        # A threshold by the count leaves about 1.5 * train_rows ids, of which the smallest hashes are taken.
+        chosen = hash_sample(chosen, chosen.count(), train_rows, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows)
+        chosen = F.broadcast(chosen)  # bounded by train_rows
     one = Window.partitionBy("doc_id", "y").orderBy(F.xxhash64("text"), "text")
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
-
-    def sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = sparse_rows(*tv.raw_bytes(batch.column("text")))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("y"), pa.array([s.astype(np.int32) for s, _ in rows], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in rows], pa.list_(pa.float32()))],
-            ["doc_id", "y", "slots", "vals"],
-        )
-
-    rows = arrow_map(sample, sparse, "doc_id long, y int, slots array<int>, vals array<float>")
-
-    def fit(batches):
-        samples = []
-        for b in batches:
-            for d, y, s, v in zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), b.column("slots"), b.column("vals")):
-                samples.append((d, y, s.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(np.float64)))
-        samples.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
-        m = ftrl([(s, v, y) for _, y, s, v in samples]) if samples else Model(np.zeros(1 << BITS, np.float32), 0.0)
-        used = np.flatnonzero(m.weights).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([used], pa.list_(pa.int32())), pa.array([m.weights[used]], pa.list_(pa.float32()))], ["bias", "slots", "weights"])
+    sample = documents.select("doc_id", "text").join(chosen, "doc_id").withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
 
-    # One task fits: its input is bounded by train_rows. The model is bounded by 2^BITS.
-    found = rows.repartition(1).mapInArrow(fit, "bias double, slots array<int>, weights array<float>").collect()
+    def fit(shard: pa.Table) -> pa.Table:
+        texts = sparse_rows(*tv.raw_bytes(shard.column("text")))
+        samples = [(d, y, s, v.astype(np.float32).astype(np.float64)) for d, y, (s, v) in zip(shard.column("doc_id").to_pylist(), shard.column("y").to_pylist(), texts)]
+        samples.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
+        m = ftrl([(s, v, y) for _, y, s, v in samples])
+        used = np.flatnonzero(m.weights)
+        weights = np.append(m.weights[used].astype(np.float64), m.bias) * len(samples)
+        # Whole numbers, so that sums do not depend on their order; the last slot has the bias, the one before the rows.
+        out = np.append(np.rint(weights * UNIT).astype(np.int64), len(samples))
+        return pa.table([pa.array(np.append(used, [1 << BITS, (1 << BITS) + 1]).astype(np.int32)), pa.array(out)], ["slot", "total"])
+
+    # A task fits a shard of about TRAIN_ROWS rows, however many there are; the model is the mean of the shards' models by rows. It is bounded by 2^BITS.
+    shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).alias("shard")
+    found = sample.groupBy(shard).applyInArrow(fit, "slot int, total long").groupBy("slot").agg(F.sum("total").alias("total"))
+    got = found.toArrow()
+    slots, total = got.column("slot").to_numpy(), got.column("total").to_numpy()
     model = Model(np.zeros(1 << BITS, np.float32), 0.0)
-    for r in found:
-        model.bias = r["bias"]
-        model.weights[np.array(r["slots"], np.int64)] = r["weights"]
+    if len(slots):
+        n = int(total[slots == (1 << BITS) + 1][0])
+        model.bias = float(total[slots == 1 << BITS][0]) / UNIT / n
+        model.weights[slots[slots < 1 << BITS]] = total[slots < 1 << BITS] / UNIT / n
     return model
 
 
