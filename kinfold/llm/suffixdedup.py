@@ -13,7 +13,8 @@ else in the table. The suffix array is distributed by content:
    difference-cover algorithm (DC3) builds the suffix array: it sorts the
    triples at two of three places, recurses on their names, and merges the
    remaining suffixes. The recursion ends where names are unique or stand for
-   `length` bytes, as no longer prefix matters.
+   `length` bytes, as no longer prefix matters. All places are named, but only
+   the starts of windows (and what their order needs) are merged.
 4. Adjacent suffixes of the array are compared on their first `length` bytes; a
    window repeats if its neighbour is equal or its block stands for several.
 5. Repeated windows return to all places of their block, and texts are cut.
@@ -36,6 +37,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,8 @@ HOT_BLOCKS = 8000
 BROADCAST_KEYS = 200_000
 #: A text is searched for anchors in pieces of so many bytes, which overlap by one window.
 PIECE = 8 << 20
+#: Bytes of short texts that are searched at once: their hashes stay in the processor's cache.
+SLICE = 1 << 18
 _PLACE = tv.U64((1 << 24) - 1)
 
 
@@ -88,54 +92,75 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return place[first], h[place[first]], starts[first], starts[last]
 
 
-def dc3(s: np.ndarray, reach: int, length: int) -> np.ndarray:
+def _sorted(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of `keys` (0 to bound - 1; ties in any order), and `keys` in that order."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if bound << bits < 1 << 63:  # Numbers with their places in the low bits sort faster than places do.
+        packed = keys << bits | np.arange(len(keys))
+        packed.sort()
+        return packed & ((1 << bits) - 1), packed >> bits
+    order = np.argsort(keys)
+    return order, keys[order]
+
+
+def dc3(s: np.ndarray, reach: int, length: int, need: np.ndarray | None = None) -> np.ndarray:
     """Places of `s` in the order of their suffixes, judged by the first `length` or more characters.
 
     s: int64 >= 0, a multiple of three long. reach: characters of the text that one symbol of `s` stands for.
+    need: flags of the places that are asked for (all, if none); the others are named, as they are part of
+    suffixes, but not merged.
     """
-    n = len(s)
+    n, third = len(s), len(s) // 3
     padded = np.append(s, np.zeros(3, np.int64))
+    need = np.ones(n, bool) if need is None else need
     size = int(s.max(initial=0)) + 1
-    ones, twos, zeros = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
-    sample = np.concatenate([ones, twos])
-    # Sort the sampled triples and name them by their order.
+    # Sort the triples at 1 mod 3, then those at 2 mod 3, and name them by their order.
+    a, b, c, d = (padded[k : k + n : 3][:third] for k in (1, 2, 3, 4))
     if size <= 1 << 21:
-        triple = (padded[sample] * size + padded[sample + 1]) * size + padded[sample + 2]
-        order = np.argsort(triple, kind="stable")
-        ordered = triple[order]
+        triple = np.concatenate([(a * size + b) * size + c, (b * size + c) * size + d])
+        order, ordered = _sorted(triple, size**3)
         new = ordered[1:] != ordered[:-1]
+        del triple, ordered
     else:
-        order = np.lexsort((padded[sample + 2], padded[sample + 1], padded[sample]))
+        columns = [np.concatenate(x) for x in ((a, b), (b, c), (c, d))]
+        order = np.lexsort(columns[::-1])
         new = np.zeros(len(order) - 1, bool)
-        for k in range(3):
-            c = padded[sample[order] + k]
-            new |= c[1:] != c[:-1]
-    names = np.empty(len(sample), np.int64)
+        for column in columns:
+            column = column[order]
+            new |= column[1:] != column[:-1]
+    names = np.empty(2 * third, np.int64)
     names[order] = np.append(1, 1 + np.cumsum(new)) if len(order) else 0
     if len(order) and not new.all() and 3 * reach < length:
-        # Recurse on the names: suffixes at 1 mod 3, then those at 2 mod 3.
+        # Recurse on the names. Merging a place takes the ranks of the two behind it.
         fill = -len(names) % 3
-        below = dc3(np.append(names, np.zeros(fill, np.int64)), 3 * reach, length)
-        below = below[below < len(names)]
-        names[below] = np.arange(1, len(names) + 1)
-        order = below
+        want = np.append(need, [False, False])
+        want[1:] |= np.append(need, False)
+        want[2:] |= need
+        below = np.concatenate([want[1:n:3], want[2:n:3], np.zeros(fill, bool)])
+        order = dc3(np.append(names, np.zeros(fill, np.int64)), 3 * reach, length, below)
+        names[order] = np.arange(1, len(order) + 1)
     rank = np.zeros(n + 3, np.int64)
-    rank[sample] = names
+    rank[1:n:3] = names[:third]
+    rank[2:n:3] = names[third:]
     # Sort the remaining suffixes by their first character and the rank behind it, then merge.
-    width = len(sample) + 2
-    rest = padded[zeros] * width + rank[zeros + 1]
-    by_rest = np.argsort(rest, kind="stable")
-    zeros, rest = zeros[by_rest], rest[by_rest]
-    ordered = sample[order]
-    is_one = ordered % 3 == 1
-    one, two = ordered[is_one], ordered[~is_one]
+    width = 2 * third + 2
+    zeros = 3 * np.flatnonzero(need[::3])
+    by_rest, rest = _sorted(padded[zeros] * width + rank[zeros + 1], size * width)
+    zeros = zeros[by_rest]
+    first = order < third
+    ordered = np.where(first, 3 * order + 1, 3 * (order - third) + 2)
+    asked = need[ordered]
+    ordered, first = ordered[asked], first[asked]
+    one, two = ordered[first], ordered[~first]
     before_one = np.searchsorted(padded[one] * width + rank[one + 1], rest)
     pair = lambda at: padded[at] * size + padded[at + 1]
-    pairs, index = np.unique(np.concatenate([pair(two), pair(zeros)]), return_inverse=True)
-    del pairs
-    before_two = np.searchsorted(index[: len(two)] * width + rank[two + 2], index[len(two) :] * width + rank[zeros + 2])
-    out = np.empty(n, np.int64)
-    taken = np.zeros(n, bool)
+    of_two, of_zeros = pair(two), pair(zeros)
+    if size * size * width >= 1 << 63:
+        index = np.unique(np.concatenate([of_two, of_zeros]), return_inverse=True)[1]
+        of_two, of_zeros = index[: len(two)], index[len(two) :]
+    before_two = np.searchsorted(of_two * width + rank[two + 2], of_zeros * width + rank[zeros + 2])
+    out = np.empty(len(zeros) + len(ordered), np.int64)
+    taken = np.zeros(len(out), bool)
     at = before_one + before_two + np.arange(len(zeros))
     # Counts in the merged sample never fall; equal prefixes may give equal places in any order.
     at = np.maximum.accumulate(at - np.arange(len(zeros))) + np.arange(len(zeros))
@@ -148,26 +173,23 @@ def dc3(s: np.ndarray, reach: int, length: int) -> np.ndarray:
 def repeated(blocks: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
     """For each block a flag for each of its window starts: does the window also start elsewhere?"""
     sizes = np.array([len(b) for b in blocks], np.int64)
-    text = np.zeros(int(sizes.sum()) + len(blocks) + 2 * length, np.int64)
+    # A zero byte ends each block; as a symbol it is less than all bytes.
+    raw = np.frombuffer(b"\0".join(blocks) + bytes(2 * length + 1), np.uint8)
+    raw = np.append(raw, np.zeros(-len(raw) % 3, np.uint8))
     at = np.cumsum(sizes + 1) - sizes - 1
-    raw = np.frombuffer(b"".join(blocks), np.uint8)
-    inside = np.repeat(at, sizes) + (np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    text[inside] = raw
-    text[inside] += 1
-    text = np.append(text, np.zeros(-len(text) % 3, np.int64))
-    starts = np.zeros(len(text), bool)
-    many = np.zeros(len(text), bool)
-    for a, n, c in zip(at.tolist(), sizes.tolist(), counts.tolist()):
-        starts[a : a + n - length + 1] = True
-        if c > 1:
-            many[a : a + n - length + 1] = True
-    array = dc3(text, 1, length)
-    array = array[starts[array]]
+    text = raw.astype(np.int64) + 1
+    text[at + sizes] = 0
+    text[int(sizes.sum()) + len(blocks) :] = 0
+    edge = np.zeros(len(text) + 1, np.int32)
+    edge[at] = 1
+    edge[at + sizes - length + 1] = -1
+    starts = np.cumsum(edge[:-1]).astype(bool)
+    edge[at] = counts > 1
+    edge[at + sizes - length + 1] = -(counts > 1).astype(np.int32)
+    many = np.cumsum(edge[:-1]).astype(bool)
+    array = dc3(text, 1, length, starts)
     # Compare adjacent prefixes eight bytes at a time; most pairs end at the first word.
-    wide = np.zeros(len(text), np.uint64)
-    plain = np.append(np.maximum(text - 1, 0), np.zeros(8, np.int64)).astype(np.uint64)
-    for k in range(8):
-        wide |= plain[k : k + len(text)] << tv.U64(8 * k)
+    wide = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,)).copy()
     a, b = array[:-1], array[1:]
     for k in [*range(0, length - 8, 8), length - 8]:
         same = wide[a + k] == wide[b + k]
@@ -189,7 +211,7 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = tv.raw_bytes(batch.column("text"))
         rows, hs, cs, ats = [], [], [], []
-        for i, j in tv.slices(offsets):
+        for i, j in tv.slices(offsets, SLICE):
             base, end = int(offsets[i]), int(offsets[j])
             for start in range(base, max(base + 1, end - length + 1), PIECE):
                 part = data[start : min(end, start + PIECE + length - 1)]
@@ -292,14 +314,19 @@ def _hot_windows(blocks: DataFrame, length: int) -> DataFrame:
     return hit.select("h", "c", "begins", F.transform("begins", lambda k: k + length).alias("ends"))
 
 
-def _mask(size: int, spans) -> np.ndarray:
-    edge = np.zeros(size + 1, np.int64)
-    for s in spans or ():
-        lo = s["lo"]
-        for b, e in zip(s["begins"], s["ends"]):
-            edge[lo + b] += 1
-            edge[lo + e] -= 1
-    return np.cumsum(edge[:-1]) > 0
+def _ranges(spans: pa.Array) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of a column of spans: each row's first range (n + 1), and begin and end of every range in its text."""
+    each = spans.flatten()
+    count = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    begins, ends = pc.struct_field(each, "begins"), pc.struct_field(each, "ends")
+    inner = pc.list_value_length(begins).to_numpy(zero_copy_only=False)
+    lo = np.repeat(pc.struct_field(each, "lo").to_numpy(zero_copy_only=False), inner)
+    at = np.append(0, np.cumsum(inner))[np.append(0, np.cumsum(count))]
+    return at.tolist(), lo + begins.flatten().to_numpy(zero_copy_only=False), lo + ends.flatten().to_numpy(zero_copy_only=False)
+
+
+def _mask(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.bincount(begins, minlength=size + 1) - np.bincount(ends, minlength=size + 1))[:-1] > 0
 
 
 def _apply(documents: DataFrame, length: int) -> DataFrame:
@@ -313,11 +340,11 @@ def digests(documents: DataFrame, length: int = 200) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, runs, hashes = [], [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans")):
+        at, begins, ends = _ranges(batch.column("spans"))
+        for text, i, j in zip(batch.column("text"), at[:-1], at[1:]):
             raw = (text.as_py() or "").encode("utf-8")
-            spans = spans.as_py()
-            if spans:
-                gone = _mask(len(raw), spans)
+            if j > i:
+                gone = _mask(len(raw), begins[i:j], ends[i:j])
                 removed.append(int(gone.sum()))
                 runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
@@ -340,12 +367,13 @@ def without_repeats(documents: DataFrame, length: int = 200) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         place = columns.index("text")
         texts, keep = [], []
-        for text, spans in zip(batch.column(place), batch.column(len(columns))):
-            value, spans = text.as_py(), spans.as_py()
-            if spans:
+        at, begins, ends = _ranges(batch.column(len(columns)))
+        for text, i, j in zip(batch.column(place), at[:-1], at[1:]):
+            value = text.as_py()
+            if j > i:
                 raw = value.encode("utf-8")
-                value = np.frombuffer(raw, np.uint8)[~_mask(len(raw), spans)].tobytes().decode("utf-8", "ignore")
-            keep.append(not spans or bool(value.strip()))
+                value = np.frombuffer(raw, np.uint8)[~_mask(len(raw), begins[i:j], ends[i:j])].tobytes().decode("utf-8", "ignore")
+            keep.append(j == i or bool(value.strip()))
             texts.append(value)
         out = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(columns))]
         return pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep, pa.bool_()))
