@@ -142,8 +142,13 @@ def words(text: Column) -> Column:
 
 def grams(w: Column) -> Column:
     """Unigrams and bigrams."""
-    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), F.coalesce(b, F.lit("$"))))
-    return F.concat(w, pairs)
+
+    def both(w: Column) -> Column:
+        pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), F.coalesce(b, F.lit("$"))))
+        return F.concat(w, pairs)
+
+    # Bound by a lambda: a filter on what follows is pushed below the words, which are then split once, not for each use.
+    return F.element_at(F.transform(F.array(w), both), 1)
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
