@@ -42,8 +42,8 @@ SYMBOLS = 64
 UND = "und"
 #: Training texts taken of each language at most, unless all are asked for: those of the smallest hashes of doc_id and text. Every language is learned.
 TRAIN_PER_LANG = 800
-#: Texts, and different trigrams, that are turned into vectors at once.
-STEP_ROWS, STEP_TRIGRAMS = 1024, 8192
+#: Bytes and texts, and different trigrams, that are turned into vectors at once.
+STEP_BYTES, STEP_ROWS, STEP_TRIGRAMS = 1 << 19, 512, 2048
 #: Whole numbers in one, for sums of vectors (exact up to 2^33 texts of a language) and for the cosines that floors are chosen among.
 UNIT, GRID = 1 << 30, 1 << 20
 #: The floor of `accept`, by the power of two of the number of trigrams.
@@ -81,8 +81,8 @@ def decode(data: np.ndarray) -> np.ndarray:
 
 
 def steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about 1 MB and at most STEP_ROWS texts, so that the memory for vectors does not grow with a batch."""
-    for i, j in tv.slices(offsets, 1 << 20):
+    """Row ranges of about STEP_BYTES and at most STEP_ROWS texts, so that the memory for vectors does not grow with a batch."""
+    for i, j in tv.slices(offsets, STEP_BYTES):
         for a in range(i, j, STEP_ROWS):
             yield a, min(a + STEP_ROWS, j)
 
@@ -117,7 +117,12 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         size[i:j] = np.bincount(who, minlength=j - i)
         if not len(code):
             continue
-        found, index = np.unique(code, return_inverse=True)
+        # A code has 18 bits: a table of them numbers those that occur, without a sort.
+        there = np.zeros(1 << 18, np.int32)
+        there[code] = 1
+        found = np.flatnonzero(there)
+        there[found] = np.arange(len(found))
+        index = there[code]
         # Whole numbers under 2^24, so the sums are the same in any order.
         for low in range(0, len(found), STEP_TRIGRAMS):
             table = trigram_vectors(found[low : low + STEP_TRIGRAMS])

@@ -21,6 +21,7 @@ doc_id and text are not read, and passed on by `accept`, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,6 +108,7 @@ def ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alp
     for _ in range(epochs):
         for k in rng.permutation(len(samples)):
             slots, values, label = samples[k]
+            values = values.astype(np.float64, copy=False)
             zi, ni = z[slots], n[slots]
             w = weight(zi, ni)
             p = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, float(w @ values)))))
@@ -118,17 +120,28 @@ def ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alp
     return Model(w[:size].astype(np.float32), float(w[size]))
 
 
-def sparse_rows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def each_sparse_row(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct slots and values of each text, with the intercept last."""
-    out = []
     for i, j in tv.slices(offsets):
         slots, rows, count = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         key, tf = np.unique(rows << BITS | slots, return_counts=True)
         cut = np.searchsorted(key >> BITS, np.arange(j - i + 1))
         for r in range(j - i):
             part = slice(cut[r], cut[r + 1])
-            out.append((np.append(key[part] & ((1 << BITS) - 1), 1 << BITS), np.append(tf[part] * (SCALE / max(1, count[r])), 1.0)))
-    return out
+            yield np.append(key[part] & ((1 << BITS) - 1), 1 << BITS), np.append(tf[part] * (SCALE / max(1, count[r])), 1.0)
+
+
+def sparse_rows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All of `each_sparse_row`."""
+    return list(each_sparse_row(data, offsets))
+
+
+def samples_of(shard: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(slots, values, label) of the rows of `shard` (doc_id, y, text), by doc_id and label, which name a row. Held in 8 bytes a slot."""
+    texts = each_sparse_row(*tv.raw_bytes(shard.column("text")))
+    rows = [(d, y, s.astype(np.int32), v.astype(np.float32)) for d, y, (s, v) in zip(shard.column("doc_id").to_pylist(), shard.column("y").to_pylist(), texts)]
+    rows.sort(key=lambda x: x[:2])
+    return [(s, v, y) for _, y, s, v in rows]
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", learn=None, train_rows: int | None = TRAIN_ROWS) -> Model:
@@ -147,10 +160,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", learn
     sample = documents.select("doc_id", "text").join(chosen, "doc_id").withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
 
     def fit(shard: pa.Table) -> pa.Table:
-        texts = sparse_rows(*tv.raw_bytes(shard.column("text")))
-        samples = [(d, y, s, v.astype(np.float32).astype(np.float64)) for d, y, (s, v) in zip(shard.column("doc_id").to_pylist(), shard.column("y").to_pylist(), texts)]
-        samples.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
-        m = ftrl([(s, v, y) for _, y, s, v in samples])
+        samples = samples_of(shard)
+        m = ftrl(samples)
         used = np.flatnonzero(m.weights)
         weights = np.append(m.weights[used].astype(np.float64), m.bias) * len(samples)
         # Whole numbers, so that sums do not depend on their order; the last slot has the bias, the one before the rows.
