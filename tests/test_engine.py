@@ -218,3 +218,15 @@ def test_small_tables_are_spread_and_large_ones_left(spark, monkeypatch):
     staging.release(df)
     with pytest.raises(Exception):
         df.count()
+
+
+def test_only_texts_of_pairs_move_and_a_first_scan_writes_texts_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(engine, "stage", lambda df, name, f=engine.stage: written.append(name) or f(df, name))
+    none = lambda schema: spark.createDataFrame([], schema)
+    done = engine.prepare(items(spark, *RIVERS), none(engine.SNAPSHOT), none(pairs.SCHEMA), 1, 5)
+    assert written.count("snapshots") == 1
+    assert sorted((r.entry, r.lastscanid, r.timecreated, r.timemodified) for r in done.snapshots.collect()) == [(e, 1, 5, 5) for e in (1, 2, 3)]
+    assert done.snapshots.columns == [c.split()[0] for c in engine.SNAPSHOT.split(", ")]
+    plan = verdicts.compare(pairs.batches(done.pairs, 1, 6), done.snapshots)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
